@@ -5,29 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from . import chat, dac, embedding, langid, packing, quality, sharding, simhash
+from .common import materialize, read
 
 
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import packing
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
-def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import sharding
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(materialize(chat.format_records(chat.records_from_turns(turns)), "chat"))
+
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~quality.held_out())
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import dac
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(read(spark, sf_dir, "documents")))
+
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digest(dac.read_documents(dac.write_segments(read(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op8_sharding, op10_token_ids)
+    f.__name__: f
+    for f in (op1_embedding_near_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_quality, op8_sharding, op9_simhash, op10_token_ids)
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can state the operator.
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding.ORACLE, "op6_chat_format": chat.ORACLE}
