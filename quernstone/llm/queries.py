@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, embedding, langid, packing, quality, sharding, simhash
+from . import chat, dac, decontam, embedding, langid, packing, quality, sharding, simhash, suffix
 from .common import materialize, read
 
 
@@ -15,6 +15,14 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -53,7 +61,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_quality, op8_sharding, op9_simhash, op10_token_ids)
+    for f in (op1_embedding_near_dedup, op2_decontamination, op3_suffix_array, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_quality, op8_sharding, op9_simhash, op10_token_ids)
 }
 #: DuckDB SQL where it can state the operator.
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding.ORACLE, "op6_chat_format": chat.ORACLE}
