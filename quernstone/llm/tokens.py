@@ -2,22 +2,34 @@
 
 A single space between two non-white characters always starts a pre-token of
 this vocabulary's splitting pattern, and merges never cross pre-tokens. A text
-may thus be cut before such spaces, and each different chunk be encoded once.
+may thus be cut before such spaces, and each different chunk be encoded once. A new
+chunk of plain characters is split by the same pattern here and only its new
+pre-tokens go through the library's model; any other chunk goes through the whole
+library.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Sequence
 
+from .common import only_one
+
 END_ID = 2
 #: Entries of the memo of a worker process; it starts anew beyond that.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 450_000
+#: The same for pre-tokens.
+MEMO_TOKENS = 150_000
 #: Longer chunks are encoded each time, so that the memo's memory is bounded.
 MEMO_CHARS = 48
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, ChunkEncoder] = {}
+#: Printable characters that byte-level vocabularies stand for by themselves; other bytes follow from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PACK = [struct.Struct(f"<{k}I").pack for k in range(16)]
 
 
 def default_vocabulary() -> str:
@@ -35,12 +47,17 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._memo: dict[str, bytes | None] = {}
+        self._ends: dict[str, bytes] = {}
+        import public_tokenizers
+        import regex
+
+        self._pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
+        self._model = self._tokenizer.model
+        self._tokens: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return only_one("tokens", path, lambda: cls(path))
 
     def _raw(self, chunks: Sequence[str]) -> list[bytes]:
         import numpy as np
@@ -48,19 +65,41 @@ class ChunkEncoder:
         found = self._tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, parts: set[str]) -> bool:
-        """Adds parts to the memo, unsafe ones as None; False if one is too long for it."""
-        fit, short = [], True
-        for p in parts:
-            if len(p) > MEMO_CHARS:
-                short = False
-            elif not p or p[0].isspace() or p[-1].isspace():
-                self._memo[p] = None
-            else:
-                fit.append(p)
-        if fit:
-            self._memo.update(zip(fit, self._raw([" " + p for p in fit]), strict=True))
-        return short
+    def _ids(self, p: str) -> bytes | None:
+        """Ids of a chunk with a space before it; None if it isn't safe to encode alone."""
+        if p.isalpha() and (p.isascii() or max(p) <= "\uffff"):
+            return self._word(p)
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        w = p.rstrip(_MARKS)
+        if w.isalpha() and len(p) - len(w) <= 4 and (w.isascii() or max(w) <= "\uffff"):
+            end = p[len(w) :]  # a run of marks is one pre-token
+            if end not in self._ends:
+                if len(self._ends) > 10_000:
+                    self._ends.clear()
+                self._ends[end] = self._raw([end])[0]
+            return (self._memo.get(w) or self._word(w)) + self._ends[end]
+        if p.replace("\n", "").isprintable() and max(p) <= "\uffff":
+            return self._by_pre_tokens(" " + p)
+        return self._raw([" " + p])[0]
+
+    def _word(self, letters: str) -> bytes:
+        named = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
+        found = [x.id for x in self._model.tokenize("\u0120" + named)]
+        return _PACK[len(found)](*found) if len(found) < len(_PACK) else struct.pack(f"<{len(found)}I", *found)
+
+    def _by_pre_tokens(self, chunk: str) -> bytes:
+        tokens, out = self._tokens, []
+        for p in self._pre_tokens(chunk):
+            ids = tokens.get(p)
+            if ids is None:
+                if len(tokens) > MEMO_TOKENS:
+                    tokens.clear()
+                named = p.encode().decode("latin-1").translate(_BYTES)
+                found = [x.id for x in self._model.tokenize(named)]
+                ids = tokens[p] = struct.pack(f"<{len(found)}I", *found)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as bytes, without an end id; null is empty."""
@@ -70,8 +109,13 @@ class ChunkEncoder:
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         first, *parts = text.split(" ")
-        if not first or first[-1].isspace() or not self._learn(set(parts).difference(memo)):
+        if not first or first[-1].isspace():
             return self._by_cuts(text)
+        long = {}
+        for p in set(parts).difference(memo):
+            (memo if len(p) <= MEMO_CHARS else long)[p] = self._ids(p)
+        if long:
+            memo = {p: memo[p] if p in memo else long[p] for p in set(parts)}
         try:
             return self._raw([first])[0] + b"".join([memo[p] for p in parts])
         except TypeError:  # a part that isn't safe to encode alone
@@ -80,7 +124,6 @@ class ChunkEncoder:
     def _by_cuts(self, text: str) -> bytes:
         """The general case: cuts only where both neighbours of a space are not white."""
         first, *rest = _SAFE_CUT.split(text)
-        self._learn({c for c in rest if len(c) <= MEMO_CHARS and self._memo.get(c) is None})
-        hard = [c for c in dict.fromkeys(rest) if self._memo.get(c) is None]
-        own = dict(zip(hard, self._raw([" " + c for c in hard]), strict=True)) if hard else {}
-        return b"".join([self._raw([first])[0], *(own[c] if c in own else self._memo[c] for c in rest)])
+        memo = self._memo
+        found = {c: memo.get(c) or self._ids(c) or self._raw([" " + c])[0] for c in set(rest)}
+        return b"".join([self._raw([first])[0], *(found[c] for c in rest)])
