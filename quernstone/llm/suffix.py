@@ -3,16 +3,20 @@
 Words are runs without ASCII white space. Of each :data:`WINDOW` successive places the
 one whose :data:`GRAM` words have the least hash keeps its suffix; so every passage of
 :data:`PASSAGE` words keeps the same suffixes wherever it occurs, about 2 in 27 of all.
-Suffixes are sorted over the cluster by their first words' hash, then document, and
-neighbours are compared: one whose first words no other document shares goes. From the
-others matches are extended left and right, one word at a time: each passage of PASSAGE
-words around a kept suffix is hashed, and is a match if its hash occurs in another
-document. Runs of matching passages make up spans, as long as the match goes on.
+Suffixes are sorted over the cluster by their first words' hash, then text and document,
+and neighbours are compared: one whose first words no other text shares goes, and of
+texts of the same words only the first document's suffixes stay. From these matches are
+extended left and right, one word at a time: each passage of PASSAGE words around a kept
+suffix is hashed, and is a match if its hash occurs in another document. Runs of
+matching passages make up spans, as long as the match goes on. A text that several
+documents have is one span.
 
 The first document (least id) that has a passage holds it; in others it is a repeat.
 Sorting is by range, so a suffix of any frequency is spread over partitions; where a
 run of equal suffixes meets the edge of a batch it's kept unseen, which costs work alone.
 
+Passages are told apart by 64-bit hashes, whole texts by 128 bits and their length.
+
 Cases: texts that are null or have fewer than PASSAGE words have no spans; repeats
 within a document don't count, nor between rows with the same doc_id, which are one
 document. Rows with a null doc_id take no part. Empty tables give no rows. Other columns
@@ -27,15 +31,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, unused
 from .words import VISIBLE, hashed_words, raw_bytes, run_hashes
 
 PASSAGE = 50
 GRAM = 25
 WINDOW = PASSAGE - GRAM + 1
-#: Places (12 bytes each) that are broadcast to the documents at most; more are joined by a shuffle.
-BROADCAST_PLACES = 2_000_000
+#: Spans to cut (16 bytes each) that are broadcast to the documents at most; more are joined by a shuffle.
+BROADCAST_SPANS = 1_000_000
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
@@ -56,43 +61,61 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """h long (hash of the first GRAM words), doc_id, place int: the kept suffixes, written to the shared folder."""
+    """h long (hash of the first GRAM words), doc_id, place int, and t1, t2, n_words of its text's words; written to the shared folder."""
+
+    def rows(h: list, named: list) -> pd.DataFrame:
+        n = [len(x) for x in h]
+        ids, t1, t2, words, place = zip(*named, strict=True)
+        rep = lambda x, kind: np.repeat(np.array(x, kind), n)
+        return pd.DataFrame({"h": np.concatenate(h), "doc_id": rep(ids, np.int64), "place": np.concatenate(place), "t1": rep(t1, np.int64), "t2": rep(t2, np.int64), "n_words": rep(words, np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes, ids, places, held = [], [], [], 0
+            h, named, held = [], [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                grams = run_hashes(hashed_words(raw_bytes(text), VISIBLE)[0], GRAM)
+                words = hashed_words(raw_bytes(text), VISIBLE)[0]
+                grams = run_hashes(words, GRAM)
                 place = minimisers(grams)
-                hashes.append(grams[place].view(np.int64))
-                ids.append(np.full(len(place), doc_id, np.int64))
-                places.append(place.astype(np.int32))
+                if not len(place):
+                    continue
+                whole = np.array([xxh64_intdigest(words.tobytes(), seed) for seed in (1, 2)], np.uint64).view(np.int64)
+                h.append(grams[place].view(np.int64))
+                named.append((doc_id, whole[0], whole[1], len(words), place.astype(np.int32)))
                 held += len(place)
                 if held > 200_000:
-                    yield pd.DataFrame({"h": np.concatenate(hashes), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
-                    hashes, ids, places, held = [], [], [], 0
+                    yield rows(h, named)
+                    h, named, held = [], [], 0
             if held:
-                yield pd.DataFrame({"h": np.concatenate(hashes), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
+                yield rows(h, named)
+
+    return materialize(_named(docs).mapInPandas(run, "h long, doc_id long, place int, t1 long, t2 long, n_words int"), "suffixes")
 
-    return materialize(_named(docs).mapInPandas(run, "h long, doc_id long, place int"), "suffixes")
+
+def _copies(kept: DataFrame) -> DataFrame:
+    """doc_id, n_words, first: documents whose words another document has too, one after the other; first is the least."""
+    texts = kept.select("doc_id", "t1", "t2", "n_words").distinct()
+    key = ["t1", "t2", "n_words"]
+    several = materialize(texts.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "texts")
+    return materialize(texts.join(several, key).select("doc_id", "n_words", "first"), "copies")
 
 
 def _shared(kept: DataFrame) -> DataFrame:
-    """Suffixes next to an equal one of another document: doc_id, place."""
+    """Suffixes next to an equal one of another text: doc_id, place; of equal texts those of the first document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            h, doc = batch["h"].to_numpy(), batch["doc_id"].to_numpy()
+            h, text, place = (batch[c].to_numpy() for c in ("h", "t1", "place"))
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             ends = np.append(starts[1:], len(h))
-            near = doc[starts] != doc[ends - 1]
+            near = text[starts] != text[ends - 1]
             near[[0, -1]] = True  # may go on in the next batch
-            yield batch[np.repeat(near, ends - starts)][["doc_id", "place"]]
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])))
+            yield batch[np.repeat(near, ends - starts) & first][["doc_id", "place"]]
 
-    n = shuffle_partitions(kept.sparkSession)
-    return kept.repartitionByRange(n, "h", "doc_id", "place").sortWithinPartitions("h", "doc_id", "place").mapInPandas(run, "doc_id long, place int")
+    n, order = shuffle_partitions(kept.sparkSession), ["h", "t1", "place", "doc_id"]
+    return kept.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, "doc_id long, place int")
 
 
 def _passages(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -109,23 +132,23 @@ def _passages(docs: DataFrame, places: DataFrame) -> DataFrame:
                 start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 yield pd.DataFrame({"h": h[start].view(np.int64), "doc_id": doc_id, "start": start.astype(np.int32)})
 
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # no more than a text's own words
-    if places.count() <= BROADCAST_PLACES:
-        by_doc = F.broadcast(by_doc)
+    # as many places as a text has words at most; by a shuffle at any size, as places grow with the corpus
+    by_doc = places.groupBy("doc_id").agg(F.collect_set("place").alias("places")).hint("shuffle_hash")
     return _named(docs).join(by_doc, "doc_id").select("doc_id", "text", "places").mapInPandas(run, "h long, doc_id long, start int")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, start, holder: all passages that other documents have too, and the least id that has them."""
-    places = materialize(_shared(suffixes(docs)), "places")
+def matches(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc_id, start, holder: passages that other documents have too, and the least id that has them; of equal texts the first document's."""
+    places = materialize(_shared(kept), "places")
     passages = materialize(_passages(docs, places), "passages")
-    ends = passages.groupBy("h").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("h", "holder")
-    return passages.join(ends, "h").select("doc_id", "start", "holder").distinct()
+    # written, so that both sides of the join are plain exchanges, which AQE can split where a passage is very frequent
+    ends = materialize(passages.groupBy("h").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("h", "holder"), "holders")
+    return materialize(passages.join(ends, "h").select("doc_id", "start", "holder"), "matches")
 
 
 def spans(found: DataFrame) -> DataFrame:
     """doc_id, start, n_words, holder: runs of overlapping passages; holder is the least of theirs."""
-    own = Window.partitionBy("doc_id").orderBy("start")
+    own = Window.partitionBy("doc_id").orderBy("start")  # a document's own passages
     new = F.coalesce((F.col("start") > F.lag("start").over(own) + PASSAGE).cast("int"), F.lit(1))
     return (
         found.withColumn("_new", new)
@@ -138,8 +161,12 @@ def spans(found: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, first_doc_id, is_first for each span that another document repeats."""
-    found = spans(matches(docs))
-    return found.select("doc_id", F.col("start").alias("start_word"), "n_words", F.col("holder").alias("first_doc_id"), (F.col("holder") == F.col("doc_id")).alias("is_first"))
+    kept = suffixes(docs)
+    found, copies = matches(docs, kept), _copies(kept)
+    least = found.groupBy(F.col("doc_id").alias("first")).agg(F.min("holder").alias("least"))
+    whole = copies.join(least, "first", "left").select("doc_id", F.lit(0).alias("start"), "n_words", F.least("first", "least").alias("holder"))
+    part = spans(found).join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    return part.unionByName(whole).select("doc_id", F.col("start").alias("start_word"), "n_words", F.col("holder").alias("first_doc_id"), (F.col("holder") == F.col("doc_id")).alias("is_first"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -156,19 +183,23 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without spans that an earlier document has; a text of which nothing is left goes. n_chars follows."""
-    repeats = spans(matches(docs).where("holder < doc_id"))
-    by_doc = materialize(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("_spans")), "spans")
-    if (by_doc.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_PLACES // 2:
+    kept = suffixes(docs)
+    copies = _copies(kept).where("first < doc_id").select("doc_id", F.lit(0).alias("start"), "n_words")
+    part = spans(matches(docs, kept).where("holder < doc_id")).select("doc_id", "start", "n_words")
+    repeats = part.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(copies)
+    doc, found = unused(docs, "_doc"), unused(docs, "_spans")
+    by_doc = materialize(repeats.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start", "n_words")).alias(found)), "spans")
+    if (by_doc.agg(F.sum(F.size(found))).first()[0] or 0) <= BROADCAST_SPANS:
         by_doc = F.broadcast(by_doc)
 
     @F.pandas_udf("string")
     def run(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut(t, [(x["start"], x["n_words"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
+        return pd.Series([cut(t, [(x["start"], x["n_words"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     names = docs.columns
-    joined = docs.join(by_doc.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id") == F.col("_doc_id"), "left")
-    whole = joined.where(F.col("_spans").isNull()).select(*names)
-    less = joined.where(F.col("_spans").isNotNull()).withColumn("text", run("text", "_spans")).where(F.trim("text") != "")
+    joined = docs.join(by_doc, F.col("doc_id") == F.col(doc), "left")
+    whole = joined.where(F.col(found).isNull()).select(*names)
+    less = joined.where(F.col(found).isNotNull()).withColumn("text", run("text", found)).where(F.trim("text") != "")
     if "n_chars" in names:
         less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(less.select(*names))
