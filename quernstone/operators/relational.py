@@ -85,6 +85,8 @@ def compile_ignore(content: str, base: str = "") -> list[tuple[str, bool]]:
             rest = line[k:]
             if rest.startswith("**/"):
                 body, k = body + "(?:.*/)?", k + 3
+            elif rest.startswith("/**/"):
+                body, k = body + "/(?:.*/)?", k + 4
             elif rest.startswith("/**"):
                 body, k = body + "/.*", k + 3
             elif rest[0] == "*":
