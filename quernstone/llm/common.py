@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 _held: dict[tuple[str, str], Any] = {}
@@ -26,6 +30,11 @@ def only_one(kind: str, key: str, make: Callable[[], Any]) -> Any:
     return _held[kind, key]
 
 
+def release() -> None:
+    """Called by a task that needs no memo: what an earlier operator kept in this worker goes."""
+    _held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -56,6 +65,63 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return out
 
 
+#: Rows of an Arrow batch at most where texts go to Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS: executors hold two batches of whole texts a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def map_small(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
+    """Like ``mapInPandas``, but texts become Python strings a few rows at a time, not a whole Arrow batch.
+
+    Integers stay exact where a column has nulls.
+    """
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def small() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    part = b.slice(at, rows)
+                    exact = any(c.null_count and pa.types.is_integer(c.type) for c in part.columns)
+                    yield part.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if exact else None)
+
+        for frame in run(small()):
+            if len(frame):
+                yield pa.RecordBatch.from_pandas(frame, schema=out_schema, preserve_index=False)
+        pa.default_memory_pool().release_unused()  # the worker may idle beside others
+
+    return df.mapInArrow(go, schema)
+
+
+def with_text_columns(df: DataFrame, compute: Callable[[], Callable[[list[str | None]], list[Sequence]]], schema: str, rows: int = 512) -> DataFrame:
+    """``df`` with columns of ``schema`` computed from its text; other columns pass through as Arrow data.
+
+    ``compute()`` is called once a task; what it gives takes some texts and returns the columns' values.
+    """
+    small_batches(df.sparkSession)
+    new = StructType.fromDDL(schema)
+    at_text, kinds = df.columns.index("text"), [f.type for f in to_arrow_schema(new)]
+    out_schema = StructType([*df.schema.fields, *new.fields])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = compute()
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                found = run(part.column(at_text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(found, kinds, strict=True))], names=out_schema.names)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(go, out_schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
     path = getattr(df, "_quernstone_path", None)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import map_small, materialize, shuffle_partitions
 from .tokens import END_ID, ChunkEncoder, default_vocabulary
 
 MAGIC = b"QDAC1"
@@ -128,6 +128,9 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, segment_ids:
                 if size >= segment_ids:
                     done.append((part, start, size, encode_segment(names, held)))
                     names, held, size, start = [], [], 0, start + size
+                    if len(done) == 32:
+                        yield pd.DataFrame(done, columns=["part", "local_start", "n_ids", "segment"])
+                        done = []
             if done:
                 yield pd.DataFrame(done, columns=["part", "local_start", "n_ids", "segment"])
         if names:
@@ -140,7 +143,7 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, segment_ids:
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    return materialize(dealt.mapInPandas(segments, "part int, local_start long, n_ids long, segment binary"), "dac")
+    return materialize(map_small(dealt, segments, "part int, local_start long, n_ids long, segment binary"), "dac")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:

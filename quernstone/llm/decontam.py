@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_small, release
 from .words import ALNUM, hashed_words, mix, raw_bytes
 
 #: Places of a span that count. In each 13 words with any two replaced, one of these fits beside them.
@@ -107,6 +108,7 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words and one item more
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seeds = Seeds(held.value)
         for batch in batches:
             rows = []
@@ -116,7 +118,7 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> DataFr
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_word", "n_words", "matched", "similarity"])
             yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return docs.mapInPandas(run, SCHEMA)
+    return map_small(docs, run, SCHEMA)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,18 +16,15 @@ learned from. Repeated rows are predicted each. Other input columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_crc
+from .common import doc_crc, only_one, with_text_columns
 
 WORD_BYTES = 32
 SAMPLE_DOCS = 120
@@ -36,10 +33,12 @@ SAMPLE_CHARS = 16_000_000
 SAMPLE_WORDS = 24_000
 MAX_LANGS = 64
 HIDDEN = 16
-MEMO_WORDS = 400_000
+#: Steps of the fit at least, however small the sample.
+LEAST_STEPS = 400
+MEMO_WORDS = 120_000
+#: Words that are split off texts at once, or those of one text if it has more.
+GROUP_WORDS = 20_000
 
-_WORD = re.compile(r"\S+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Model(NamedTuple):
@@ -47,6 +46,10 @@ class Model(NamedTuple):
     params: dict[str, np.ndarray]
 
 
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def word_bytes(word: str) -> list[bytes]:
     raw = word.encode("utf-8", "surrogatepass")
     return [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
@@ -68,8 +71,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _run(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """A gated layer over the rows of x; the state stays where x is 256."""
-    h = np.zeros((x.shape[1], u.shape[0]), np.float32)
-    k, states, past = u.shape[0], np.empty((x.shape[0], x.shape[1], u.shape[0]), np.float32), []
+    h = np.zeros((x.shape[1], u.shape[0]), u.dtype)
+    k, states, past = u.shape[0], np.empty((x.shape[0], x.shape[1], u.shape[0]), u.dtype), []
     for t in range(x.shape[0]):
         a, b = w[x[t]], h @ u
         gates = _sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
@@ -84,7 +87,7 @@ def _run(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.nd
 
 
 def _back(x: np.ndarray, u: np.ndarray, past: list, d_states: np.ndarray, dw: np.ndarray, du: np.ndarray) -> None:
-    k, dh = u.shape[0], np.zeros_like(d_states[0])
+    dh = np.zeros_like(d_states[0])
     for t in range(x.shape[0] - 1, -1, -1):
         h, z, r, n, inner, there = past[t]
         total = dh + d_states[t]
@@ -97,7 +100,6 @@ def _back(x: np.ndarray, u: np.ndarray, past: list, d_states: np.ndarray, dw: np
         np.add.at(dw, x[t], da)
         du += h.T @ db
         dh = np.where(there, d * z, total) + db @ u.T
-    del k
 
 
 def _logits(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
@@ -120,7 +122,8 @@ def train(words: list[tuple[bytes, int]], langs: list[str], hidden: int = HIDDEN
     m, v, step = {a: np.zeros_like(b) for a, b in p.items()}, {a: np.zeros_like(b) for a, b in p.items()}, 0
     words = sorted(words, key=lambda x: len(x[0]))
     starts = np.arange(0, len(words), batch)
-    for epoch in range(epochs):
+    epochs = max(epochs, -(-LEAST_STEPS // len(starts)))
+    for _ in range(epochs):
         for at in draw.permutation(starts):
             own = words[at : at + batch]
             x, n = _padded([w for w, _ in own])
@@ -135,12 +138,11 @@ def train(words: list[tuple[bytes, int]], langs: list[str], hidden: int = HIDDEN
             _back(x, p["uf"], past_f, ds[:, :, :hidden], g["wf"], g["uf"])
             _back(x[::-1], p["ub"], past_b, ds[::-1, :, hidden:], g["wb"], g["ub"])
             step += 1
-            norm = float(np.sqrt(sum((b * b).sum() for b in g.values())))
-            rate = 0.02 * (1 - step / (epochs * len(starts) + 1)) * min(1.0, 1.0 / max(norm, 1e-6))
+            rate = 0.02 * (1 - step / (epochs * len(starts) + 1))
             for a in p:
                 m[a] = 0.9 * m[a] + 0.1 * g[a]
                 v[a] = 0.99 * v[a] + 0.01 * g[a] ** 2
-                p[a] -= (rate / max(min(1.0, 1.0 / max(norm, 1e-6)), 1e-6)) * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.99**step)) + 1e-7)
+                p[a] -= rate * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.99**step)) + 1e-7)
     return Model(langs, {a: b.astype(np.float32) for a, b in p.items()})
 
 
@@ -160,15 +162,32 @@ class Predictor:
     """Distributions of texts, with a memo of words."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-        self.sums = np.zeros((MEMO_WORDS, len(model.langs) + 1))
+        self.model = model
+        self._new()
+        self.before, self.sums_before = {}, self.sums
+
+    def _new(self, words: int = MEMO_WORDS) -> None:
+        self.memo: dict[str, int] = {}
+        self.sums = np.zeros((words, len(self.model.langs) + 1))
+
+    def _recall(self, words: set[str]) -> None:
+        """All of ``words`` into the memo; a full one becomes the one before, so frequent words stay."""
+        missing = words.difference(self.memo)
+        if len(self.memo) + len(missing) > len(self.sums):
+            self.before, self.sums_before = self.memo, self.sums
+            self._new(max(MEMO_WORDS, len(words)))
+            missing = words
+        known = sorted(missing.intersection(self.before))
+        at = len(self.memo)
+        self.sums[at : at + len(known)] = self.sums_before[[self.before[w] for w in known]]
+        self.memo.update(zip(known, range(at, at + len(known)), strict=True))
+        if len(known) < len(missing):
+            self._learn(sorted(missing.difference(self.before)))
 
     def _learn(self, words: list[str]) -> None:
-        if len(words) > len(self.sums):
-            self.sums = np.zeros((len(words), self.sums.shape[1]))
         pieces, owner = [], []
         for k, w in enumerate(words):
-            if _LETTER.search(w):
+            if has_letter(w):
                 for piece in word_bytes(w):
                     pieces.append(piece)
                     owner.append(k)
@@ -180,30 +199,23 @@ class Predictor:
         self.memo.update(zip(words, range(start, start + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [t.split() if t else [] for t in texts]
         out: list[tuple[str, float]] = []
         at = 0
-        while at < len(split):
-            # texts of as many words as the memo surely holds at once
-            stop, n = at, 0
-            while stop < len(split) and (stop == at or n + len(split[stop]) <= MEMO_WORDS // 2):
-                n += len(split[stop])
-                stop += 1
-            every = set().union(*split[at:stop])
-            missing = sorted(every.difference(self.memo))
-            if len(self.memo) + len(missing) > len(self.sums):
-                self.memo.clear()
-                missing = sorted(every)
-            if missing:
-                self._learn(missing)
-            for words in split[at:stop]:
+        while at < len(texts):
+            # the words of a few texts at a time, not of a whole batch
+            split, n = [], 0
+            while at < len(texts) and n < GROUP_WORDS:
+                split.append(texts[at].split() if texts[at] else [])
+                n += len(split[-1])
+                at += 1
+            self._recall(set().union(*split))
+            for words in split:
                 total = self.sums[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(0) if words else np.zeros(self.sums.shape[1])
                 if total[-1] and self.model.langs:
                     k = int(total[:-1].argmax())
                     out.append((self.model.langs[k], float(min(1.0, total[k] / total[-1]))))
                 else:
                     out.append(("und", 0.0))
-            at = stop
         return out
 
 
@@ -222,7 +234,7 @@ def fit(docs: DataFrame, learnable, seed: int = 11) -> Model:
         counts: Counter[bytes] = Counter()
         for r in sorted(x["text"] for x in rows if x["lang"] == lang):
             for w in r.split():
-                if _LETTER.search(w):
+                if has_letter(w):
                     counts.update(word_bytes(w))
         found, n = list(counts), np.array([*counts.values()], float)
         if found:
@@ -231,24 +243,16 @@ def fit(docs: DataFrame, learnable, seed: int = 11) -> Model:
     return train(chosen, langs) if chosen else Model([], train([(b"a", 0)], ["-"], epochs=1).params)
 
 
-_PREDICTORS: dict[str, Predictor] = {}
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to all rows of (doc_id, text) and any other columns."""
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds columns ``lang`` and ``score`` to all rows of ``docs``, from its text alone; such columns of its own are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on HIDDEN and MAX_LANGS alone
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _PREDICTORS:
-            _PREDICTORS.clear()
-            _PREDICTORS[key] = Predictor(held.value)
-        for texts in batches:
-            yield pd.DataFrame(_PREDICTORS[key].predict(texts.tolist()), columns=["lang_pred", "score"])
+    def compute():
+        predictor = only_one("language", key, lambda: Predictor(held.value))
+        return lambda texts: list(zip(*predictor.predict(texts), strict=True))
 
-    kept = docs.drop("lang_pred", "score")
-    return kept.withColumn("_found", predict(F.col("text").cast("string"))).select(*kept.columns, "_found.lang_pred", "_found.score")
+    return with_text_columns(docs.drop(lang, score), compute, f"`{lang}` string, `{score}` double")
 
 
 def held_out():

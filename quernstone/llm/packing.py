@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_small, materialize
 from .tokens import END_ID, ChunkEncoder, default_vocabulary
 
 CAPACITY = 1024
+#: Ids are handed on once there are so many bytes of them.
+OUT_BYTES = 2_000_000
 #: The table of ranks before each part is broadcast up to so many rows (24 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 500_000
 
@@ -84,10 +86,17 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part = ChunkEncoder.shared(path), TaskContext.get().partitionId()
         end, seen = np.array([END_ID], "<u4").tobytes(), [0] * (capacity + 1)
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "local_rank"]).astype({"doc_id": "Int64"})
+
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, held = [], 0
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+                if held > OUT_BYTES:
+                    yield frame()
+                    rows, held = [], 0
                 ids = encoder.encode(text) + end
+                held += len(ids)
                 n = len(ids) // 4
                 ends = [*range(n % capacity or capacity, n, capacity), n] if n > capacity else [n]
                 start = 0
@@ -95,12 +104,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     rows.append((doc_id, k, start, stop - start, ids[start * 4 : stop * 4], part, seen[stop - start]))
                     seen[stop - start] += 1
                     start = stop
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "local_rank"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield frame()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(read.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"), "pieces")
+    return materialize(map_small(read, cut, "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"), "pieces")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -17,16 +17,14 @@ Repeated rows are scored each. Other input columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_crc
+from .common import doc_crc, release, with_text_columns
 
 HASH_BITS = 17
 SAMPLE_DOCS = 2000
@@ -183,14 +181,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score to all rows of ``docs``, from its text alone."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2**HASH_BITS
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def compute():
+        release()
         model, seen = held.value, np.zeros(_SIZE, bool)
-        for texts in batches:
-            yield pd.Series([probability(features(t, seen), model) for t in texts], dtype=float)
+        return lambda texts: [[probability(features(t, seen), model) for t in texts]]
 
-    kept = docs.drop("score")
-    return kept.withColumn("score", run(F.col("text").cast("string")))
+    return with_text_columns(docs.drop("score"), compute, "score double")
 
 
 def held_out():

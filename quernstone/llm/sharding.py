@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, unused
 
 #: The driver holds and sends parts x shards counts; more than this many is an error, so its memory is bounded (8 bytes each).
 MATRIX_CELLS = 8_000_000
@@ -95,10 +95,11 @@ def _hypergeometric_large(draw: np.random.Generator, good: int, bad: int, n: int
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20240229) -> DataFrame:
     """``docs`` with shard int and slot long (gapless from 0 in each shard), dealt and sorted by both."""
     spark = docs.sparkSession
-    kept = docs.drop("shard", "slot", "_part", "_row")
+    kept = docs.drop("shard", "slot")
+    part, row, to = (unused(kept, c) for c in ("_part", "_row", "_to"))
     number = F.monotonically_increasing_id()
-    held = materialize(kept.withColumn("_part", F.shiftright(number, 33).cast("int")).withColumn("_row", number.bitwiseAND(F.lit((1 << 33) - 1))), "shard")
-    counts = sorted(held.groupBy("_part").agg(F.count("*")).collect())
+    held = materialize(kept.withColumn(part, F.shiftright(number, 33).cast("int")).withColumn(row, number.bitwiseAND(F.lit((1 << 33) - 1))), "shard")
+    counts = sorted(held.groupBy(part).agg(F.count("*")).collect())
     if len(counts) * n_shards > MATRIX_CELLS:
         raise ValueError(f"{len(counts)} parts x {n_shards} shards are over {MATRIX_CELLS}; coalesce the input")
     sizes = np.array([n for _, n in counts], np.int64)
@@ -120,8 +121,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20240229) -> DataFram
         return pd.DataFrame({"shard": to.astype(np.int32), "slot": permuted(arrival, ends[to], to + seed + 10**9)})
 
     return (
-        held.withColumn("_to", deal("_part", "_row"))
-        .select(*kept.columns, F.col("_to.shard").alias("shard"), F.col("_to.slot").alias("slot"))
+        held.withColumn(to, deal(part, row))
+        .select(*kept.columns, F.col(to)["shard"].alias("shard"), F.col(to)["slot"].alias("slot"))
         .repartitionByRange(shuffle_partitions(spark), "shard", "slot")
         .sortWithinPartitions("shard", "slot")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, shuffle_partitions, unused
+from .common import map_small, materialize, release, shuffle_partitions, unused
 from .words import VISIBLE, hashed_words, raw_bytes, run_hashes
 
 PASSAGE = 50
@@ -70,6 +70,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"h": np.concatenate(h), "doc_id": rep(ids, np.int64), "place": np.concatenate(place), "t1": rep(t1, np.int64), "t2": rep(t2, np.int64), "n_words": rep(words, np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             h, named, held = [], [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -88,7 +89,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
             if held:
                 yield rows(h, named)
 
-    return materialize(_named(docs).mapInPandas(run, "h long, doc_id long, place int, t1 long, t2 long, n_words int"), "suffixes")
+    return materialize(map_small(_named(docs), run, "h long, doc_id long, place int, t1 long, t2 long, n_words int"), "suffixes")
 
 
 def _copies(kept: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def _passages(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     # as many places as a text has words at most; by a shuffle at any size, as places grow with the corpus
     by_doc = places.groupBy("doc_id").agg(F.collect_set("place").alias("places")).hint("shuffle_hash")
-    return _named(docs).join(by_doc, "doc_id").select("doc_id", "text", "places").mapInPandas(run, "h long, doc_id long, start int")
+    return map_small(_named(docs).join(by_doc, "doc_id").select("doc_id", "text", "places"), run, "h long, doc_id long, start int")
 
 
 def matches(docs: DataFrame, kept: DataFrame) -> DataFrame:

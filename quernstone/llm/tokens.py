@@ -17,10 +17,11 @@ from collections.abc import Sequence
 from .common import only_one
 
 END_ID = 2
-#: Entries of the memo of a worker process; it starts anew beyond that.
-MEMO_ENTRIES = 450_000
+#: Entries of the memo of a worker process. A full one becomes the one before, which words that occur again
+#: are taken over from, and the one before that goes: frequent words stay.
+MEMO_ENTRIES = 220_000
 #: The same for pre-tokens.
-MEMO_TOKENS = 150_000
+MEMO_TOKENS = 80_000
 #: Longer chunks are encoded each time, so that the memo's memory is bounded.
 MEMO_CHARS = 48
 
@@ -47,6 +48,7 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._memo: dict[str, bytes | None] = {}
+        self._before: dict[str, bytes | None] = {}
         self._ends: dict[str, bytes] = {}
         import public_tokenizers
         import regex
@@ -105,22 +107,40 @@ class ChunkEncoder:
         """The ids of ``text`` as bytes, without an end id; null is empty."""
         if not text:
             return b""
-        memo = self._memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        first, *parts = text.split(" ")
+        if len(self._memo) > MEMO_ENTRIES:
+            self._before, self._memo = self._memo, {}
+        memo, before = self._memo, self._before
+        parts = text.split(" ")
+        first = parts[0]
         if not first or first[-1].isspace():
             return self._by_cuts(text)
-        long = {}
+        del parts[0]
+        long, tokenize = {}, self._model.tokenize
         for p in set(parts).difference(memo):
-            (memo if len(p) <= MEMO_CHARS else long)[p] = self._ids(p)
+            ids = before.get(p)
+            if ids is None:
+                if p.isascii() and p.isalpha() and len(p) < len(_PACK):  # the usual word, with no call more than needed
+                    found = tokenize("\u0120" + p)
+                    ids = _PACK[len(found)](*[x.id for x in found])
+                else:
+                    ids = self._ids(p)
+            if len(p) <= MEMO_CHARS:
+                memo[p] = ids
+            else:
+                long[p] = ids
         if long:
             memo = {p: memo[p] if p in memo else long[p] for p in set(parts)}
         try:
-            return self._raw([first])[0] + b"".join([memo[p] for p in parts])
+            return self._first(first) + b"".join([memo[p] for p in parts])
         except TypeError:  # a part that isn't safe to encode alone
             return self._by_cuts(text)
 
+    def _first(self, chunk: str) -> bytes:
+        """Ids of a chunk with no space before it."""
+        if len(chunk) <= MEMO_CHARS and chunk.replace("\n", "").isprintable() and max(chunk) <= "\uffff":
+            return self._by_pre_tokens(chunk)
+        return self._raw([chunk])[0]
+
     def _by_cuts(self, text: str) -> bytes:
         """The general case: cuts only where both neighbours of a space are not white."""
         first, *rest = _SAFE_CUT.split(text)
