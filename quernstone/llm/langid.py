@@ -150,8 +150,13 @@ def byte_sums(model: Model, words: list[bytes]) -> np.ndarray:
     """Sums over a word's bytes of their distributions."""
     out = np.zeros((len(words), len(model.langs)))
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 2048):
-        own = order[at : at + 2048]
+    at = 0
+    while at < len(order):
+        # words of about one length, so that little of a step is padding
+        stop, most = at + 1, len(words[order[at]]) * 5 // 4 + 1
+        while stop < min(len(order), at + 2048) and len(words[order[stop]]) <= most:
+            stop += 1
+        own, at = order[at:stop], stop
         x, _ = _padded([words[i] for i in own])
         prob = _softmax(_logits(model.params, x)[0])
         out[own] = (prob * (x != 256)[:, :, None]).sum(0)

@@ -19,9 +19,9 @@ from .common import only_one
 END_ID = 2
 #: Entries of the memo of a worker process. A full one becomes the one before, which words that occur again
 #: are taken over from, and the one before that goes: frequent words stay.
-MEMO_ENTRIES = 220_000
+MEMO_ENTRIES = 150_000
 #: The same for pre-tokens.
-MEMO_TOKENS = 80_000
+MEMO_TOKENS = 60_000
 #: Longer chunks are encoded each time, so that the memo's memory is bounded.
 MEMO_CHARS = 48
 
