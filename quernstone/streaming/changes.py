@@ -20,11 +20,11 @@ DEBOUNCE_MS = 500
 RING, KEPT_FILES = 200, 20
 
 
-def bursts(changes: DataFrame, quiet_ms: int = DEBOUNCE_MS, late: str = "10 minutes") -> DataFrame:
-    """SM02. The files of each burst of changes, which ends after ``quiet_ms`` without one."""
+def bursts(changes: DataFrame, by: str = "repo", quiet_ms: int = DEBOUNCE_MS, late: str = "10 minutes") -> DataFrame:
+    """SM02. The files of each burst of a key's changes, which ends after ``quiet_ms`` without one."""
     w = F.session_window("ts", f"{quiet_ms} milliseconds")
-    found = changes.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.count("*").alias("n_changes"))
-    return found.select(F.col("w.start").alias("started"), F.col("w.end").alias("flushed"), "files", "n_changes")
+    found = changes.withWatermark("ts", late).groupBy(by, w.alias("w")).agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.count("*").alias("n_changes"))
+    return found.select(by, F.col("w.start").alias("started"), F.col("w.end").alias("flushed"), "files", "n_changes")
 
 
 def thrashing_alerts(changes: DataFrame, least: int = 5, minutes: int = 10, late: str = "10 minutes") -> DataFrame:

@@ -22,7 +22,7 @@ def run(spark, df, name, mode, tmp_path):
 
 
 def test_bursts_end_after_quiet(spark, tmp_path):
-    df = folder(spark, tmp_path, [[("a", 0), ("b", 0.3), ("a", 0.6)], [("c", 5)], [("z", 10_000)], [("z", 20_000)]])
+    df = folder(spark, tmp_path, [[("a", 0), ("b", 0.3), ("a", 0.6)], [("c", 5)], [("z", 10_000)], [("z", 20_000)]]).withColumn("repo", F.lit("r"))
     found = run(spark, changes.bursts(df), "bursts", "append", tmp_path)
     assert sorted((r.files, r.n_changes) for r in found)[:2] == [(["a", "b"], 3), (["c"], 1)]
 
