@@ -62,7 +62,7 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -70,7 +70,7 @@ def fingerprint(text: str | None) -> int:
         return 0
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
-    k = min(SHINGLE_WORDS, len(words))
+    k = min(shingle_words, len(words))
     starts = [0, *ends[: len(words) - k]]
     counts, n = np.zeros(64, np.int64), len(starts)
     for at in range(0, n, 1 << 16):
