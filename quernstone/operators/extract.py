@@ -51,7 +51,7 @@ def op_tx46_line_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT page_id, len(regexp_extract_all(html, '<(a|p|div|h[1-6])\b')) AS tags, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS links, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages""",
-    covers=("TX44", "GR29", "RT01"),
+    covers=("GR29", "RT01"),
 )
 def op_tx44_page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")

@@ -80,7 +80,7 @@ def op_tx12_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, round(0.65 * (p_size / 50.0) + 0.35 * (floor(p_retailprice) / 2000), 6) AS blended, CASE WHEN p_size < 10 THEN round(0.25 * p_size / 50.0, 6) ELSE round(p_size / 50.0, 6) END AS weakened FROM part""",
-    covers=("TX10", "TX17", "TX18", "TX19", "AN07"),
+    covers=("TX10",),
 )
 def op_tx10_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size") / 50.0
@@ -132,7 +132,7 @@ def op_tx30_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, least(12 * (p_size > 40)::INT + 8 * (p_retailprice > 1500)::INT, 18) AS test_penalty, least(14 + 6 * (p_size % 5), 30) AS path_signal, least(8 + 4 * (p_size % 4), 20) AS technical, CASE WHEN p_size % 7 >= 2 THEN least(6 * (p_size % 7), 18) ELSE 0 END AS coverage FROM part""",
-    covers=("TX22", "TX23", "TX24", "TX25", "TX26"),
+    covers=("TX22", "TX23", "TX24", "TX25"),
 )
 def op_tx23_bounded_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped bonuses and penalties of the field score."""
