@@ -5,12 +5,12 @@ of a span that count; the others may differ. The hashes of all spans of the benc
 items form the test side, those of the documents the training side. Around each equal
 hash the item is laid along the document, and the overlap is verified word by word: it
 is a leak if in some :data:`WINDOW` words of the item (all, if it has fewer) a share of
-at least :data:`SHARE` is equal. Any such window with two words replaced has a span that
-avoids them both.
+at least :data:`SHARE` is equal. Any window of 13 words with two replaced has a span that
+avoids them both. Shorter items have masks of their own length, one of which avoids any
+fifth of its words (two of 10 to 12, one of 5 to 9); below five words all must be equal.
 
 The test side goes to the executors in blocks of items of at most :data:`BLOCK_WORDS`
-words; each block scans all documents. Items of 5 to 7 words have a mask of their
-length; shorter ones are no evidence and match nothing.
+words; each block scans all documents. An item without a word matches nothing.
 
 Cases: null and empty texts match nothing. A null doc_id or item_id stays null. Repeated
 items and documents give a row each. Empty tables give no rows. Other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,6 @@ from .words import ALNUM, hashed_words, mix, raw_bytes
 
 #: Places of a span that count. In each 13 words with any two replaced, one of these fits beside them.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 9, 10, 11))
-SHORTEST = 5
 WINDOW = 13
 SHARE = 0.8
 BLOCK_WORDS = 2_000_000
@@ -56,21 +56,30 @@ def span_hashes(w: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n words, fewer than WINDOW: beside any n // 5 replaced words one of them fits."""
+    out = n // 5
+    parts = np.array_split(np.arange(n), out + 2) if out else [np.arange(n)]
+    return [tuple(np.concatenate(kept).tolist()) for kept in combinations(parts, len(parts) - out)]
+
+
 class Seeds:
     """The test side of some items: sorted span hashes, and the item and place of each."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        self.masks = [*MASKS, *(tuple(range(n)) for n in sorted({len(w) for w in self.words if SHORTEST <= len(w) <= MASKS[0][-1]}))]
+        # (words of the items it is for, or 0 for all of WINDOW or more; mask from its first place on; that place)
+        self.masks = [(0, m, 0) for m in MASKS] + [(n, tuple(x - m[0] for x in m), m[0]) for n in sorted({len(w) for w in self.words if 0 < len(w) < WINDOW}) for m in short_masks(n)]
         hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
         for k, w in enumerate(self.words):
-            for salt, mask in enumerate(self.masks):
-                if salt < len(MASKS) or len(mask) == len(w):
-                    h = span_hashes(w, mask, salt)
+            for salt, (n, mask, first) in enumerate(self.masks):
+                if n == (len(w) if len(w) < WINDOW else 0):
+                    h = span_hashes(w[first:], mask, salt)
+                    h = h[:1] if n else h  # a short item's mask has one place
                     hashes.append(h)
                     item.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
+                    place.append(np.arange(len(h)) + first)
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         self.hashes, self.item, self.place = h[order], np.concatenate(item)[order], np.concatenate(place)[order]
@@ -81,7 +90,7 @@ class Seeds:
         """(item number, document word of the item's first word, equal words, best share of a window) by item."""
         w = words(text)
         found: set[tuple[int, int]] = set()
-        for salt, mask in enumerate(self.masks):
+        for salt, (_, mask, _) in enumerate(self.masks):
             h = span_hashes(w, mask, salt)
             at = np.flatnonzero(self.present[(h >> np.uint64(64 - BITS)).astype(np.int64)])
             if not len(at):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -285,3 +286,15 @@ def test_leaks(spark, monkeypatch, blocks):
     assert got == [(20, "1", 14), (20, "1", 14), (21, "1", 13), (21, "1", 13), (22, "2", 5), (24, "None", 7)]
     assert decontam.find_leaks(docs(spark, rows), bench.where("false")).count() == 0
     assert decontam.find_leaks(docs(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_a_fifth_of_a_short_item_replaced_is_found(n):
+    item = [f"w{k}" for k in range(n)]
+    seeds = decontam.Seeds([(1, " ".join(item))])
+    for gone in itertools.combinations(range(n), n // 5):
+        t = ["x" if k in gone else w for k, w in enumerate(item)]
+        for text in (t, ["before", *t, "after"], [w for k, w in enumerate(t) if k or w != "x"]):
+            found = seeds.leaks(" ".join(text))
+            assert found and found[0][2] == n - n // 5
+    assert not seeds.leaks(" ".join(["x"] * (n // 5 + 1) + item[n // 5 + 1 :]))
