@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import math
 import zlib
 
 import numpy as np
@@ -26,17 +28,65 @@ def test_permutation_is_about_uniform():
     assert abs(hits / 4000 - 1 / 8).max() < 0.03
 
 
+def matrix(parts, shards, seed):
+    before = np.concatenate(([0], np.cumsum(np.array(parts, np.int64)))).astype(np.int64)
+    return np.stack([sharding.matrix_row(before, k, shards, seed)[0] for k in range(len(parts))]), before
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 500), max_size=8), st.integers(1, 12), st.integers(0, 9))
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(1, 12), st.integers(0, 9))
 def test_matrix_has_exact_sums(parts, shards, seed):
-    m = sharding.communication_matrix(np.array(parts, np.int64), shards, seed)
+    m, before = matrix(parts, shards, seed)
     assert m.sum(1).tolist() == parts and (m >= 0).all()
-    assert m.sum(0).max() - m.sum(0).min() <= 1
+    assert m.sum(0).tolist() == sharding.shard_sizes(sum(parts), shards).tolist()
+    for k in range(len(parts)):
+        assert sharding.matrix_row(before, k, shards, seed)[1].tolist() == m[:k].sum(0).tolist()
 
 
 def test_matrix_of_huge_parts():
-    m = sharding.communication_matrix(np.array([3 * 10**11, 7 * 10**11]), 3, 1)
-    assert m.sum(1).tolist() == [3 * 10**11, 7 * 10**11] and m.sum(0).max() - m.sum(0).min() <= 1
+    m, _ = matrix([3 * 10**11, 7 * 10**11, 10**9, 5], 3, 1)
+    assert m.sum(1).tolist() == [3 * 10**11, 7 * 10**11, 10**9, 5] and m.sum(0).max() - m.sum(0).min() <= 1
+
+
+def test_matrix_of_a_million_parts():
+    before = np.concatenate(([0], np.cumsum(np.random.default_rng(2).integers(1, 10**6, 10**6))))
+    for k in (0, 1, 499_999, 777_777, 999_998):
+        (row, at), (_, after) = (sharding.matrix_row(before, p, 40, 3) for p in (k, k + 1))
+        assert row.sum() == before[k + 1] - before[k] and at.sum() == before[k] and (after == at + row).all() and (row >= 0).all()
+    row, at = sharding.matrix_row(before, 10**6 - 1, 40, 3)
+    assert (row + at == sharding.shard_sizes(int(before[-1]), 40)).all()
+
+
+def test_matrix_follows_the_law():
+    parts, tries = [3, 2, 2], 6000
+    want: dict[tuple, int] = {}
+    for order in set(itertools.permutations([0] * 3 + [1] * 2 + [2] * 2)):  # part of each row in order of arrival, shards of 4 and 3
+        key = tuple(sum(p == k for p in order[:4]) for k in range(3))
+        want[key] = want.get(key, 0) + 1
+    got: dict[tuple, int] = {}
+    for seed in range(tries):
+        key = tuple(matrix(parts, 2, seed)[0][:, 0].tolist())
+        got[key] = got.get(key, 0) + 1
+    total = sum(want.values())
+    assert set(got) == set(want)
+    assert sum((got[k] - tries * n / total) ** 2 / (tries * n / total) for k, n in want.items()) < len(want) + 5 * (2 * len(want)) ** 0.5
+
+
+def test_large_draws_follow_the_law():
+    draw, good, bad, n, tries = np.random.default_rng(8), 60, 45, 30, 30_000
+    got = np.bincount([sharding.ratio_of_uniforms(draw, good, bad, n) for _ in range(tries)], minlength=n + 1)
+    want = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) * tries for k in range(n + 1)])
+    many = want > 10
+    assert ((got - want)[many] ** 2 / want[many]).sum() < many.sum() + 5 * (2 * many.sum()) ** 0.5 and got[~many].sum() < 60
+
+
+def test_log_probabilities_do_not_cancel():
+    for good, bad, n in ((10**12, 3 * 10**12 + 7, 2 * 10**12), (10**13, 10**10, 10**12), (30, 25, 20)):
+        k = n * good // (good + bad)
+        for step in (1, 5, 4000):
+            to = min(k + step, good, n)
+            exact = math.fsum(math.log((good - j) / (j + 1)) + math.log((n - j) / (bad - n + j + 1)) for j in range(k, to))
+            assert abs(sharding.log_probability(to, good, bad, n) - sharding.log_probability(k, good, bad, n) - exact) < 1e-6
 
 
 def test_shards_hold_each_row_once(spark):
