@@ -76,11 +76,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_small(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
-    """Like ``mapInPandas``, but texts become Python strings a few rows at a time, not a whole Arrow batch.
+def _frame(part: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """As pandas; integers stay exact where a column has nulls."""
+    exact = any(c.null_count and pa.types.is_integer(c.type) for c in part.columns)
+    return part.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if exact else None)
 
-    Integers stay exact where a column has nulls.
-    """
+
+def map_large(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 1 << 16) -> DataFrame:
+    """Like ``mapInPandas`` for rows of a few numbers: Arrow batches of any size are put together to ``rows`` rows or more."""
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def large() -> Iterator[pd.DataFrame]:
+            held: list[pa.RecordBatch] = []
+            n = 0
+            for b in batches:
+                if b.num_rows:
+                    held.append(b)
+                    n += b.num_rows
+                if n >= rows:
+                    frame, held, n = _frame(pa.Table.from_batches(held)), [], 0
+                    yield frame
+            if held:
+                yield _frame(pa.Table.from_batches(held))
+
+        for frame in run(large()):
+            if len(frame):
+                yield pa.RecordBatch.from_pandas(frame, schema=out_schema, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(go, schema)
+
+
+def map_small(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
+    """Like ``mapInPandas``, but texts become Python strings a few rows at a time, not a whole Arrow batch."""
     out_schema = to_arrow_schema(StructType.fromDDL(schema))
     small_batches(df.sparkSession)
 
@@ -88,9 +117,7 @@ def map_small(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd
         def small() -> Iterator[pd.DataFrame]:
             for b in batches:
                 for at in range(0, b.num_rows, rows):
-                    part = b.slice(at, rows)
-                    exact = any(c.null_count and pa.types.is_integer(c.type) for c in part.columns)
-                    yield part.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if exact else None)
+                    yield _frame(b.slice(at, rows))
 
         for frame in run(small()):
             if len(frame):
