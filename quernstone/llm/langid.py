@@ -6,8 +6,10 @@ learned languages, and a text's distribution is the mean over all its bytes in w
 that hold a letter. The state starts anew with each word, so equal words give equal
 sums and each different word is read once per worker's memo; every byte counts.
 
-It is trained in numpy by backpropagation through time on the driver, on at most
-:data:`SAMPLE_DOCS` documents of each of at most :data:`MAX_LANGS` languages.
+It is trained in numpy by backpropagation through time on the driver. For each learned
+language there are at most :data:`SAMPLE_DOCS` documents, whose words are counted on the
+executors over their whole texts, and of each at most :data:`WORDS_OF_TEXT` words, drawn by
+how often they occur; of all these :data:`SAMPLE_WORDS`. All values of lang are learned.
 
 Cases: ``und`` with score 0 for a null text or one without a letter, and for all if
 no language can be learned. A null doc_id counts as the empty text in crc32 and isn't
@@ -18,20 +20,20 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_crc, only_one, with_text_columns
+from .common import doc_crc, map_small, only_one, with_text_columns
 
 WORD_BYTES = 32
 SAMPLE_DOCS = 120
-#: Characters of all sample texts that come to the driver at most.
-SAMPLE_CHARS = 16_000_000
+WORDS_OF_TEXT = 400
 SAMPLE_WORDS = 24_000
-MAX_LANGS = 64
 HIDDEN = 16
 #: Steps of the fit at least, however small the sample.
 LEAST_STEPS = 400
@@ -224,33 +226,46 @@ class Predictor:
         return out
 
 
+def _drawn(text: str, seed: int) -> list[bytes]:
+    """At most WORDS_OF_TEXT different pieces of a text's words, by how often they occur in all of it."""
+    counts: Counter[bytes] = Counter()
+    for w, n in Counter(text.split()).items():
+        if has_letter(w):
+            for piece in word_bytes(w):
+                counts[piece] += n
+    found = sorted(counts)
+    if len(found) <= WORDS_OF_TEXT:
+        return found
+    n = np.array([counts[x] for x in found], float)
+    return [found[i] for i in np.random.default_rng(seed).choice(len(found), WORDS_OF_TEXT, replace=False, p=n / n.sum())]
+
+
 def fit(docs: DataFrame, learnable, seed: int = 11) -> Model:
-    """Train on rows where ``learnable`` holds: text and lang not null. Only ids pass through the choice of the sample."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), learnable.alias("ok")).where(F.col("ok") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("lang") != "und"))
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
-        return Model([], train([(b"a", 0)], ["-"], epochs=1).params)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id").collect()
-    chars = SAMPLE_CHARS // (len(langs) * SAMPLE_DOCS)
-    rows = docs.where(learnable & F.col("doc_id").isin([r[0] for r in ids]) & F.col("text").isNotNull() & F.col("lang").isin(langs)).select("lang", F.substring("text", 1, chars).alias("text")).limit(2 * len(langs) * SAMPLE_DOCS).collect()
-    draw, chosen = np.random.default_rng(seed), []
-    for k, lang in enumerate(langs):
-        counts: Counter[bytes] = Counter()
-        for r in sorted(x["text"] for x in rows if x["lang"] == lang):
-            for w in r.split():
-                if has_letter(w):
-                    counts.update(word_bytes(w))
-        found, n = list(counts), np.array([*counts.values()], float)
-        if found:
-            take = draw.choice(len(found), min(SAMPLE_WORDS, int(n.sum())), p=n / n.sum())
-            chosen += [(found[i], k) for i in take]
-    return train(chosen, langs) if chosen else Model([], train([(b"a", 0)], ["-"], epochs=1).params)
+    """Train on rows where ``learnable`` holds: text and lang not null. Only hashes and ids pass through the choice of the sample."""
+    text = F.col("text").cast("string")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("th"), text.alias("text"), learnable.alias("ok"))
+    named = named.where(F.col("ok") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    chosen = named.select("lang", "doc_id", "th").withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS).select("lang", "doc_id", "th").distinct()
+    rows = named.join(F.broadcast(chosen), ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"])  # SAMPLE_DOCS texts of a language
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_drawn(t, seed + (th & 0xFFFFFFFF)) for t, th in zip(b["text"], b["th"], strict=True)]
+            yield pd.DataFrame({"lang": b["lang"], "doc_id": b["doc_id"], "th": b["th"], "pieces": found})
+
+    own: dict[str, list[bytes]] = {}
+    for r in sorted(map_small(rows.select("lang", "doc_id", "th", "text"), run, "lang string, doc_id long, th long, pieces array<binary>", 16).collect()):
+        if r["pieces"]:
+            own.setdefault(r["lang"], []).extend(map(bytes, r["pieces"]))
+    langs, draw = sorted(own), np.random.default_rng(seed)
+    chosen_words = [(own[lang][i], k) for k, lang in enumerate(langs) for i in draw.permutation(len(own[lang]))[:SAMPLE_WORDS]]
+    return train(chosen_words, langs) if langs else Model([], train([(b"a", 0)], ["-"], epochs=1).params)
 
 
 def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds columns ``lang`` and ``score`` to all rows of ``docs``, from its text alone; such columns of its own are replaced."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on HIDDEN and MAX_LANGS alone
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on HIDDEN and the number of languages alone
     key = uuid.uuid4().hex
 
     def compute():

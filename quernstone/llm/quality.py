@@ -6,30 +6,33 @@ log-ratio of its smoothed counts in the two classes; a text's vector is scaled t
 length one. A linear hinge-loss model is fitted by dual coordinate descent, then a
 logistic curve from margin to probability on the fifth of the sample kept aside.
 
-The fit reads at most SAMPLE_DOCS labelled texts of each class. Every text is scored
-as a whole, in blocks of BLOCK bytes that overlap so that no n-gram is lost.
+The fit reads at most SAMPLE_DOCS labelled texts of each class. Every text, learned or
+scored, is read as a whole on the executors, in blocks of BLOCK bytes that overlap so that
+no n-gram is lost; of learned ones only the numbers of their n-grams come to the driver,
+2**HASH_BITS bits each at most.
 
 Cases: null and empty texts have no feature and get the score of the intercept. An id
-labelled more than once has the mean label, 0.5 counting as 1. Null ids or labels teach
+labelled more than once has the mean label, 0.5 counting as 1; of an id with several texts
+the one with the least hash is learned. Null ids or labels teach
 nothing. Without both classes the score is the share of label 1, or 0.5 without labels.
 Repeated rows are scored each. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_crc, release, with_text_columns
+from .common import doc_crc, map_small, release, with_text_columns
 
 HASH_BITS = 17
 SAMPLE_DOCS = 2000
-#: Characters of a sample text at most, so that what comes to the driver is bounded; scoring has no such bound.
-SAMPLE_CHARS = 20_000
 BLOCK = 1 << 20
 _SIZE = 1 << HASH_BITS
 
@@ -107,15 +110,14 @@ def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, co
     return w, bias
 
 
-def train(texts: list[str], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 5, share: float | None = None) -> Model:
-    """``share``: of label 1 among all labelled rows, which the sample needn't have."""
+def train(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 5, share: float | None = None) -> Model:
+    """From the :func:`features` of texts; ``share``: of label 1 among all labelled rows, which the sample needn't have."""
     labels = np.asarray(labels, int)
     share = float(labels.mean()) if share is None and len(labels) else 0.5 if share is None else share
     if len(set(labels.tolist())) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(_SIZE), np.zeros(_SIZE), 0.0, 1.0, float(np.log(p / (1 - p))))
-    draw, seen = np.random.default_rng(seed), np.zeros(_SIZE, bool)
-    rows = [features(t, seen) for t in texts]
+    draw = np.random.default_rng(seed)
     aside = draw.random(len(rows)) < 0.2
     for k in (0, 1):  # both parts need both classes
         own = np.flatnonzero(labels == k)
@@ -170,11 +172,36 @@ def fit(docs: DataFrame, labels: DataFrame, learnable, label: str = "quality") -
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not sizes:
         return train([], np.zeros(0))
-    first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id", "y")  # at most 2 x SAMPLE_DOCS rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted((r["doc_id"], r["y"], r["text"] or "") for r in texts.join(F.broadcast(chosen), "doc_id").limit(4 * SAMPLE_DOCS).collect())
-    return train([t for _, _, t in rows], np.array([y for _, y, _ in rows], int), share=sizes.get(1, 0) / sum(sizes.values()))
+    first = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = [known.where(F.col("y") == y).orderBy(*first).limit(SAMPLE_DOCS) for y in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 x SAMPLE_DOCS rows
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).join(chosen, "doc_id").withColumn("th", F.xxhash64("text"))
+    least = F.broadcast(texts.groupBy("doc_id").agg(F.min("th").alias("th")))  # a row for each of these
+    rows = texts.join(least, ["doc_id", "th"]).dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(_SIZE, bool)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "found": [_packed(features(t, seen)) for t in b["text"]]})
+
+    learned = sorted((r["doc_id"], r["y"], bytes(r["found"])) for r in map_small(rows.select("doc_id", "y", "text"), run, "doc_id long, y int, found binary", 64).collect())
+    return train([_unpacked(f) for _, _, f in learned], np.array([y for _, y, _ in learned], int), share=sizes.get(1, 0) / sum(sizes.values()))
+
+
+def _packed(found: np.ndarray) -> bytes:
+    """Numbers below 2**HASH_BITS in 4 bytes each, or as bits if that is shorter."""
+    if 4 * len(found) < _SIZE // 8:
+        return found.astype("<u4").tobytes()
+    bits = np.zeros(_SIZE, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if len(data) < _SIZE // 8:
+        return np.frombuffer(data, "<u4").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
