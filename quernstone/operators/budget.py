@@ -21,7 +21,7 @@ def prefix_within(df: DataFrame, partition: list[str], order: list, cost: Column
 
 @query(
     """SELECT source, doc_id, used FROM (SELECT *, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k FROM documents) WHERE used <= 1200 AND k <= 16""",
-    covers=("WN07", "BU02", "BU05"),
+    covers=("WN07", "BU02"),
 )
 def op_wn07_prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tables(spark, sf_dir).documents.select("source", "doc_id", "n_chars", T.estimate_tokens(F.col("text")).alias("cost"))
@@ -107,7 +107,7 @@ def op_src15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH r AS (SELECT p_partkey, p_size / 50.0 AS local, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k FROM part), p AS (SELECT p_partkey FROM r WHERE local >= 0.3 ORDER BY k LIMIT 5), s AS (SELECT p_partkey FROM r WHERE k <= 40)
     SELECT p_partkey, CASE WHEN p_partkey IN (SELECT p_partkey FROM p) THEN 'pivot' WHEN p_partkey IN (SELECT p_partkey FROM s) THEN 'support' ELSE 'discard' END AS role FROM part""",
-    covers=("RO01", "RO02"),
+    covers=("RO01",),
 )
 def op_ro01_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five pivots with evidence of their own, the rest of the best 40 support. Both sets are top-k, then broadcast."""
@@ -162,7 +162,7 @@ _RULES_SQL = " UNION ALL ".join(f"SELECT '{i}' AS intent, '{k}' AS kind, {t} AS
     t AS (SELECT p_partkey, intent, sum(CASE WHEN kind = 'any' AND list_has_any(string_split(n, ' '), terms) OR kind = 'part' AND len(list_filter(terms, lambda x: contains(n, x))) > 0 THEN strength ELSE 0 END) AS s FROM w, r GROUP BY 1, 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, intent DESC) AS k, lead(s) OVER (PARTITION BY p_partkey ORDER BY s DESC, intent DESC) AS second FROM t)
     SELECT p_partkey, CASE WHEN s >= 1 AND s > second THEN intent ELSE 'explain' END AS intent FROM k WHERE k = 1""",
-    covers=("RO04", "TX37", "TK13", "RO05"),
+    covers=("RO04", "TX37", "TK13"),
 )
 def op_ro04_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Tables(spark, sf_dir).part
@@ -201,7 +201,7 @@ TIERS = ["explicit_route", "path_containment", "indexed_path", "exact_symbol", "
 @query(
     """WITH e AS (SELECT l_orderkey AS request, l_suppkey AS repo, min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 3 ELSE 4 END) AS tier FROM lineitem GROUP BY 1, 2), b AS (SELECT request, min(tier) AS tier FROM e GROUP BY 1)
     SELECT request, CASE b.tier WHEN 1 THEN 'path_containment' WHEN 3 THEN 'exact_symbol' ELSE 'behavioral_mechanism' END AS tier, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(repo) END AS chosen FROM e JOIN b USING (request, tier) GROUP BY request, b.tier""",
-    covers=("WS01", "WS02", "WS03", "RT02"),
+    covers=("WS01", "WS02", "WS03"),
 )
 def op_ws01_nominate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest tier that has evidence decides; more than one candidate in it is ambiguous."""
@@ -215,7 +215,7 @@ def op_ws01_nominate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l_partkey AS subject, CASE WHEN count(DISTINCT l_suppkey) FILTER (l_returnflag = 'R') > 1 THEN 'ambiguous' WHEN count(*) FILTER (l_returnflag = 'N' AND l_quantity > 45) > 0 THEN 'unproven' WHEN count(DISTINCT l_suppkey) FILTER (l_returnflag = 'R') = 1 THEN 'unique' ELSE 'absent' END AS uniqueness FROM lineitem GROUP BY 1""",
-    covers=("WS07", "WS04", "WS05", "WS08"),
+    covers=("WS07",),
 )
 def op_ws07_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued: two present are ambiguous, an unknown one leaves it unproven, else unique or absent."""
@@ -227,7 +227,7 @@ def op_ws07_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT avg((event_type IN ('view', 'click'))::INT) >= 0.8 OR coalesce(max((event_type = 'purchase')::INT), 0) = 0 AS dominated, user_id FROM events GROUP BY user_id""",
-    covers=("AN04", "AN05"),
+    covers=("AN05",),
 )
 def op_an05_dominated_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, own = F.col("event_type").isin("view", "click").cast("int"), (F.col("event_type") == "purchase").cast("int")
@@ -236,7 +236,7 @@ def op_an05_dominated_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, CASE WHEN n_chars < 100 THEN 'not_covered' WHEN lang <> 'en' THEN 'unsupported_language' WHEN n_chars > 20000 THEN 'over_budget' ELSE 'answer' END AS state FROM documents""",
-    covers=("PK05", "RE01", "RE02"),
+    covers=("PK05", "RE01"),
 )
 def op_pk05_decline(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")

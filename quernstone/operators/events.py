@@ -93,7 +93,7 @@ def op_sm09_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_id, CASE WHEN now - ts > INTERVAL 1 DAY THEN 'expired' ELSE 'live' END AS state FROM events, n""",
-    covers=("SM11", "PK06", "WN08"),
+    covers=("SM11", "WN08"),
 )
 def op_sm11_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Tables(spark, sf_dir).events
@@ -113,7 +113,7 @@ def op_ag13_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_type AS scope, count(DISTINCT user_id) AS evidence, count(DISTINCT user_id) >= 3 AS candidate, CASE WHEN count(DISTINCT user_id) >= 10 THEN 'high' WHEN count(DISTINCT user_id) >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY 1""",
-    covers=("AG14", "RU01", "RU05"),
+    covers=("AG14", "RU01"),
 )
 def op_ag14_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Tables(spark, sf_dir).events.groupBy(F.col("event_type").alias("scope")).agg(F.countDistinct("user_id").alias("evidence"))
@@ -159,7 +159,7 @@ def op_ag17_turn_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("conv_id").agg(F.count_if(F.col("occ") >= 2).alias("repeats"), F.min(F.when(F.col("category") == "edit", F.col("idx"))).alias("first_edit"), F.count_if(F.col("category") == "search").alias("searches"), risk.alias("risk"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_valid(props)", covers=("SRC20", "SRC21"))
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_valid(props)", covers=("SRC21",))
 def op_src20_parse_json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).events.select("event_id", F.from_json("props", "k long").alias("p")).where("p IS NOT NULL").select("event_id", "p.k")
 
@@ -228,7 +228,7 @@ def op_me09_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'session_unknown' WHEN event_type = 'error' THEN 'incompatible' WHEN value IS NULL THEN 'unverifiable' WHEN value > 90 THEN 'stale_scope' ELSE 'compatible' END AS state FROM events""",
-    covers=("ME03", "RT03"),
+    covers=("ME03",),
 )
 def op_me03_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("user_id") % 4 == 0, "session_unknown").when(F.col("event_type") == "error", "incompatible").when(F.col("value").isNull(), "unverifiable").when(F.col("value") > 90, "stale_scope").otherwise("compatible")

@@ -27,7 +27,7 @@ def all_of(c: Column, pattern: str, group: int = 0) -> Column:
     r"""WITH d AS (SELECT doc_id, text || ' see src/app.py#L10-L20 and lib/x.ts:42, not A_B_C or HTTP_ERR' AS t FROM documents)
     SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b'), lambda x: x <> ''))), ' ') AS constants,
     len(list_distinct(list_filter(string_split_regex(t, '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Z]{3,}$')))) AS acronyms FROM d""",
-    covers=("SRC16", "SRC17", "TX47", "TX08", "AN03"),
+    covers=("SRC16", "TX47", "AN03"),
 )
 def op_src16_body_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat("text", F.lit(" see src/app.py#L10-L20 and lib/x.ts:42, not A_B_C or HTTP_ERR"))
@@ -51,7 +51,7 @@ def op_tx46_line_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT page_id, len(regexp_extract_all(html, '<(a|p|div|h[1-6])\b')) AS tags, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS links, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages""",
-    covers=("GR29", "RT01"),
+    covers=("GR29",),
 )
 def op_tx44_page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
@@ -121,7 +121,7 @@ _OUT = "CASE (p_partkey % 5)::INT WHEN 0 THEN p_size || ' passed in 2s' WHEN 1 T
 @query(
     f"""WITH x AS (SELECT p_partkey, p_size, {_OUT} AS o FROM part) SELECT p_partkey, CASE WHEN trim(o) = '' THEN 'unknown' WHEN coalesce(try_cast(regexp_extract(o, '(\\d+)\\s+errors?\\b', 1) AS BIGINT), 0) > 0 THEN 'error' WHEN coalesce(try_cast(regexp_extract(o, '(\\d+)\\s+failed', 1) AS BIGINT), 0) > 0 THEN 'failed'
     WHEN coalesce(try_cast(regexp_extract(o, '(\\d+)\\s+passed', 1) AS BIGINT), 0) > 0 THEN 'passed' WHEN contains(o, 'collected 0 items') THEN 'no_tests' ELSE 'unknown' END AS status FROM x""",
-    covers=("TX43", "DX08"),
+    covers=("TX43",),
 )
 def op_tx43_pytest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
@@ -188,7 +188,7 @@ def op_dx04_pivot_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH t AS (SELECT conv_id, turn, lower(split_part(text, ' ', 2)) AS leaf FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, turn, lower(text) AS q FROM conversations)
     SELECT t.conv_id, t.turn, count(p.turn) AS mentions FROM t LEFT JOIN p ON p.conv_id = t.conv_id AND p.turn < t.turn AND contains(p.q, t.leaf) GROUP BY 1, 2""",
-    covers=("DX06", "DX07"),
+    covers=("DX06",),
 )
 def op_dx06_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier calls of the conversation that mention what a turn selects."""
@@ -198,15 +198,6 @@ def op_dx06_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(p, (t["conv_id"] == p["conv_id"]) & (F.col("at") < F.col("turn")) & F.contains("q", F.col("leaf")), "left").groupBy(t["conv_id"], "turn").agg(F.count("at").alias("mentions"))
 
 
-@query(
-    """SELECT event_id, CASE WHEN event_type = 'error' AND value > 60 THEN 'read_error' WHEN event_type <> 'error' THEN 'unknown' WHEN contains(props, '7') THEN 'encoding_error' ELSE 'syntax_error' END AS failure FROM events""",
-    covers=("TX59", "DX11"),
-)
-def op_tx59_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.col("event_type") == "error"
-    return Tables(spark, sf_dir).events.select("event_id", F.when(error & (F.col("value") > 60), "read_error").when(~error, "unknown").when(F.contains("props", F.lit("7")), "encoding_error").otherwise("syntax_error").alias("failure"))
-
-
 @query(
     """SELECT doc_id, left(sha256(doc_id::VARCHAR), 12) AS ref, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS payload FROM documents""",
     covers=("TX56", "TX57", "SNK13"),
@@ -229,7 +220,7 @@ def op_jn22_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH x AS (SELECT p_partkey, 'use ' || p_name || CASE (p_partkey % 3)::INT WHEN 0 THEN ' rather than ' WHEN 1 THEN ' instead of ' ELSE ' and ' END || p_brand || ', please' AS t FROM part)
     SELECT p_partkey, regexp_extract(t, '^(?:use )?(.*?) (?:rather than|instead of|other than) ', 1) AS positive, regexp_extract(t, '(?:rather than|instead of|other than) ([^,.;!?]*)', 1) AS excluded FROM x""",
-    covers=("TX48", "TX49", "TX51"),
+    covers=("TX48", "TX49"),
 )
 def op_tx48_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preferred side and what it excludes, up to the next punctuation."""
@@ -374,7 +365,7 @@ def op_src14_module_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH f AS (SELECT l_partkey AS owner, l_orderkey AS ord, CASE l_returnflag WHEN 'A' THEN 'ordering' WHEN 'R' THEN 'first_item' ELSE 'fallback' END AS kind, l_linestatus = 'F' AS bearing FROM lineitem), c AS (SELECT * FROM f WHERE kind IN ('ordering', 'first_item') AND bearing ORDER BY owner, ord, kind LIMIT 400),
     o AS (SELECT owner, kind, row_number() OVER (PARTITION BY owner ORDER BY ord, kind) AS k FROM c) SELECT owner, kind, CASE kind WHEN 'first_item' THEN 0.55 ELSE 0.2 END::DOUBLE AS strength FROM o WHERE k = 1 ORDER BY strength DESC, owner LIMIT 3""",
-    covers=("GR17", "GR18", "GR20"),
+    covers=("GR17", "GR18"),
 )
 def op_gr17_operation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """400 facts that bear on a selection, the first of each owner, direct before partial, three."""
@@ -388,7 +379,7 @@ def op_gr17_operation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH a AS (SELECT o_orderkey AS id, o_custkey AS file, (o_orderkey % 40)::BIGINT AS line FROM orders), s AS (SELECT o_orderkey AS span_id, o_custkey AS file, (o_orderkey % 31)::BIGINT AS first, (o_orderkey % 31 + o_orderkey % 6)::BIGINT AS last FROM orders),
     i AS (SELECT id, arg_min(span_id, (last - first, span_id)) AS span_id FROM a JOIN s USING (file) WHERE line BETWEEN first AND last GROUP BY id) SELECT id AS anchor_id, span_id FROM i""",
-    covers=("FLT21", "AN01", "JN18"),
+    covers=("FLT21", "AN01"),
 )
 def op_flt21_enclosing_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line's shortest enclosing span, by an equi join on bins."""
@@ -398,5 +389,3 @@ def op_flt21_enclosing_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = o.select(k.alias("anchor_id"), F.col("o_custkey").alias("file"), (k % 40).alias("line"))
     spans = o.select(k.alias("span_id"), F.col("o_custkey").alias("file"), (k % 31).alias("first"), (k % 31 + k % 6).alias("last"))
     return enclosing(anchors, spans, 8).where("exact").select("anchor_id", "span_id")
-
-

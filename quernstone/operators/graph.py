@@ -163,7 +163,7 @@ def op_gr12_graph_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {EDGES_SQL}, k(node) AS (SELECT 's:1' UNION SELECT src FROM k JOIN edges ON dst = node WHERE edge_type <> 'contains') SELECT node FROM k""",
-    covers=("GR21", "GR22", "GR23", "GR24", "SNK06"),
+    covers=("GR21",),
 )
 def op_gr21_binding_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)

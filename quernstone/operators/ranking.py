@@ -102,7 +102,7 @@ def symbol_match(name: Column, symbols: list[str]) -> Column:
     """WITH x AS (SELECT p_partkey, lower(p_name) AS n, list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM part)
     SELECT p_partkey, greatest(CASE WHEN n = 'part 7' THEN 3.0 WHEN starts_with(n, 'part 7') OR starts_with('part 7', n) THEN 1.8 WHEN list_has_all(w, ['part', '7']) THEN 1.0 ELSE 0 END,
     CASE WHEN n = '12 part' THEN 3.0 WHEN starts_with(n, '12 part') OR starts_with('12 part', n) THEN 1.8 WHEN list_has_all(w, ['12', 'part']) THEN 1.0 ELSE 0 END)::DOUBLE AS raw FROM x""",
-    covers=("TX29", "TX28"),
+    covers=("TX29",),
 )
 def op_tx29_symbol_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", symbol_match(F.col("p_name"), ["part 7", "12 part"]).alias("raw"))
@@ -132,7 +132,7 @@ def op_tx30_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, least(12 * (p_size > 40)::INT + 8 * (p_retailprice > 1500)::INT, 18) AS test_penalty, least(14 + 6 * (p_size % 5), 30) AS path_signal, least(8 + 4 * (p_size % 4), 20) AS technical, CASE WHEN p_size % 7 >= 2 THEN least(6 * (p_size % 7), 18) ELSE 0 END AS coverage FROM part""",
-    covers=("TX22", "TX23", "TX24", "TX25"),
+    covers=("TX23", "TX24"),
 )
 def op_tx23_bounded_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped bonuses and penalties of the field score."""

@@ -41,7 +41,7 @@ def op_tx55_classify_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linestatus, l_partkey, l_suppkey, l_orderkey, l_linenumber LIMIT 64""",
-    covers=("TK06", "TK07"),
+    covers=("TK06",),
 )
 def op_tk06_relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total order of six keys, the best 64."""
@@ -114,7 +114,7 @@ def op_jn21_path_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT o_orderkey FROM r WHERE k > 100 AND k <= 150""",
-    covers=("WN11", "PK03"),
+    covers=("WN11",),
 )
 def op_wn11_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page after a cursor: rows beyond the cursor's keys in order, not an offset over all rows.
@@ -180,7 +180,7 @@ def op_rt07_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'explicit' WHEN length(split_part(p_name, ' ', 1)) < 4 THEN 'weak_short' ELSE 'ordinary' END AS confidence, CASE WHEN p_size % 4 = 0 THEN 1.0 WHEN length(split_part(p_name, ' ', 1)) < 4 THEN 0.5 ELSE 0.1 END::DOUBLE AS factor,
     CASE WHEN p_type LIKE '%1' AND p_size < 20 THEN 0.3 ELSE 0.0 END::DOUBLE AS penalty FROM part""",
-    covers=("RT06", "TX15", "TX50"),
+    covers=("RT06",),
 )
 def op_rt06_identifier_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a name in prose counts, and what a symbol without use as an answer loses."""
@@ -204,17 +204,6 @@ def op_gr19_promote_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("p IS NOT NULL AND k IS NOT NULL").select("l_suppkey", F.round(F.greatest(F.col("p"), F.col("k") + 0.0001), 4).alias("promoted"))
 
 
-@query(
-    """SELECT CASE WHEN p_size < 15 THEN 'low_relevance' WHEN p_size % 5 = 0 THEN 'too_deep' WHEN p_size % 2 = 0 THEN 'no_slot' ELSE 'admitted' END AS outcome, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1""",
-    covers=("PK02",),
-)
-def op_gr27_path_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates in order, counting what each turns away."""
-    s = F.col("p_size")
-    outcome = F.when(s < 15, "low_relevance").when(s % 5 == 0, "too_deep").when(s % 2 == 0, "no_slot").otherwise("admitted")
-    return Tables(spark, sf_dir).part.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
-
-
 def ladder(stages: list[Column], budget: int) -> tuple[Column, Column]:
     """BU04. The first stage whose size fits the budget, else -1, and its size: each stage is smaller than the one before."""
     stage, size = F.lit(-1), F.lit(None).cast("long")
@@ -227,7 +216,7 @@ def ladder(stages: list[Column], budget: int) -> tuple[Column, Column]:
 @query(
     """WITH s AS (SELECT doc_id, [ceil(n_chars / 4.0)::BIGINT, ceil(n_chars / 8.0)::BIGINT, ceil(n_chars / 16.0)::BIGINT, ceil(least(n_chars, 600) / 4.0)::BIGINT] AS x FROM documents)
     SELECT doc_id, CASE WHEN x[1] <= 120 THEN 0 WHEN x[2] <= 120 THEN 1 WHEN x[3] <= 120 THEN 2 WHEN x[4] <= 120 THEN 3 ELSE -1 END AS stage, CASE WHEN x[1] <= 120 THEN x[1] WHEN x[2] <= 120 THEN x[2] WHEN x[3] <= 120 THEN x[3] WHEN x[4] <= 120 THEN x[4] END AS size FROM s""",
-    covers=("BU07", "PK07"),
+    covers=("BU07",),
 )
 def op_bu04_progressive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
@@ -239,7 +228,7 @@ def op_bu04_progressive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH t AS (SELECT item_id, list_slice(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)), 1, 1000) AS w FROM benchmark), m AS (SELECT item_id, p_partkey, row_number() OVER (PARTITION BY item_id ORDER BY p_partkey) AS k FROM (SELECT item_id, unnest(w) AS w FROM t) JOIN part ON lower(split_part(p_type, ' ', 1)) = w)
     SELECT item_id, p_partkey FROM m WHERE k <= 6""",
-    covers=("AN02", "AN06"),
+    covers=("AN02",),
 )
 def op_an02_title_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that a request names, six a request."""
@@ -282,12 +271,6 @@ def op_pk10_digest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take(lead, 0).unionByName(take(rest.where("p_size > 25").orderBy(*order).limit(1), 1)).unionByName(take(rest.where("p_size <= 25").orderBy(*order).limit(2), 2))
 
 
-@query("SELECT page_id, len(regexp_extract_all(lower(html), 'the')) AS mentions FROM pages WHERE contains(lower(html), 'the') ORDER BY mentions DESC, page_id LIMIT 10", covers=("DX12", "TX52"))
-def op_dx12_documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.lower("html")
-    return Tables(spark, sf_dir).pages.where(F.contains(h, F.lit("the"))).select("page_id", F.size(extract.all_of(h, "the")).cast("long").alias("mentions")).orderBy(F.desc("mentions"), "page_id").limit(10)
-
-
 #: Profiles by intent.
 PROFILES = {"debug": (2, 2), "refactor": (3, 5), "feature": (2, 3), "explain": (3, 4)}
 

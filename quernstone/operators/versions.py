@@ -86,7 +86,7 @@ STALE_PRIORITY = {"file_removed": 0, "symbol_modified": 2, "file_modified_source
     f"""WITH {RUNS_SQL}, {_DIFF}, items AS (SELECT l_orderkey AS path, l_linenumber AS item, l_quantity > 25 AS source_backed FROM lineitem)
     SELECT path, item, CASE WHEN change = 'removed' THEN 'file_removed' WHEN change = 'modified' AND source_backed THEN 'file_modified_source_backed' ELSE 'fresh' END AS state,
     CASE WHEN change = 'removed' THEN 0 WHEN change = 'modified' AND source_backed THEN 3 END AS priority FROM items JOIN d USING (path)""",
-    covers=("JN16", "JN17", "ME04"),
+    covers=("JN17",),
 )
 def op_jn17_capsule_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -110,7 +110,7 @@ def op_jn20_added_then_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {RUNS_SQL}, r AS (SELECT owner, array_agg(path ORDER BY path) AS files FROM base GROUP BY owner), {_DIFF}, x AS (SELECT owner, unnest(files) AS path FROM r)
     SELECT owner, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change IN ('removed', 'modified')) > 0 AS stale FROM x JOIN d USING (path) GROUP BY owner""",
-    covers=("RU04", "SM08"),
+    covers=("RU04",),
 )
 def op_ru04_stale_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules go stale when a file of their scope is removed or modified."""
@@ -144,7 +144,7 @@ def op_src24_reusable_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {RUNS_SQL}, k AS (SELECT owner, kind, min(path) AS old_path FROM prev GROUP BY 1, 2 HAVING count(*) = 1), n AS (SELECT owner, kind, min(path) AS new_path FROM cur GROUP BY 1, 2 HAVING count(*) = 1)
     SELECT l_orderkey, l_linenumber, coalesce(new_path, l_orderkey) AS target FROM lineitem LEFT JOIN (SELECT old_path, new_path FROM k JOIN n USING (owner, kind)) ON old_path = l_orderkey""",
-    covers=("JN23", "SNK07"),
+    covers=("JN23",),
 )
 def op_jn23_rebind_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
