@@ -148,16 +148,20 @@ def variants(term: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(*forms), F.coalesce(synonyms[term], F.array().cast("array<string>"))), lambda x: x.isNotNull() & (F.length(x) > 1))))
 
 
+#: The same in DuckDB SQL; ``{t}`` is the term.
+VARIANTS_SQL = """list_sort(list_distinct(list_filter([{t}, CASE WHEN {t} LIKE '%y' THEN left({t}, length({t}) - 1) || 'ies' ELSE {t} || 's' END, CASE WHEN regexp_matches({t}, '(s|x|z|ch|sh)$') THEN {t} || 'es' END,
+    CASE WHEN {t} LIKE '%ies' THEN left({t}, length({t}) - 3) || 'y' END, CASE WHEN {t} LIKE '%ation' THEN left({t}, length({t}) - 5) || 'ate' END, CASE WHEN {t} LIKE '%ing' AND length({t}) > 4 THEN left({t}, length({t}) - 3) END, CASE WHEN {t} LIKE '%ed' AND length({t}) > 3 THEN left({t}, length({t}) - 2) END]
+    || CASE {t} WHEN 'delete' THEN ['remove', 'drop'] WHEN 'create' THEN ['add', 'new'] WHEN 'config' THEN ['settings', 'options'] ELSE [] END, lambda x: x IS NOT NULL AND length(x) > 1)))"""
+
+
 @query(
-    f"""WITH u AS (SELECT DISTINCT unnest({T.TOKENIZE_SQL.format(c="text || ' delete create config stories creation'")}) AS t FROM documents WHERE lang = 'en'), v AS (SELECT t, list_sort(list_distinct(list_filter([t, CASE WHEN t LIKE '%y' THEN left(t, length(t) - 1) || 'ies' ELSE t || 's' END, CASE WHEN regexp_matches(t, '(s|x|z|ch|sh)$') THEN t || 'es' END,
-    CASE WHEN t LIKE '%ies' THEN left(t, length(t) - 3) || 'y' END, CASE WHEN t LIKE '%ation' THEN left(t, length(t) - 5) || 'ate' END, CASE WHEN t LIKE '%ing' AND length(t) > 4 THEN left(t, length(t) - 3) END, CASE WHEN t LIKE '%ed' AND length(t) > 3 THEN left(t, length(t) - 2) END]
-    || CASE t WHEN 'delete' THEN ['remove', 'drop'] WHEN 'create' THEN ['add', 'new'] WHEN 'config' THEN ['settings', 'options'] ELSE [] END, lambda x: x IS NOT NULL AND length(x) > 1))) AS forms FROM u) SELECT t AS term, array_to_string(forms, ' ') AS forms FROM v""",
+    f"""WITH u AS (SELECT DISTINCT unnest({T.TOKENIZE_SQL.format(c="text || ' delete create config stories creation'")}) AS t FROM documents)
+    SELECT t AS term, array_to_string({VARIANTS_SQL.format(t="t")}, ' ') AS forms FROM u""",
     covers=("TX27",),
 )
 def op_tx27_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).documents.where("lang = 'en'")
     t = F.explode(F.array_distinct(T.tokenize(F.concat("text", F.lit(" delete create config stories creation")))))
-    return d.select(t.alias("term")).distinct().select("term", F.array_join(variants(F.col("term")), " ").alias("forms"))
+    return Tables(spark, sf_dir).documents.select(t.alias("term")).distinct().select("term", F.array_join(variants(F.col("term")), " ").alias("forms"))
 
 
 GENERIC = ("part", "test", "data", "with")
