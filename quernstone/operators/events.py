@@ -77,7 +77,7 @@ def op_sm07_compress_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('view', 'click')),
-    d AS (SELECT user_id, count(*) AS durable FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+    d AS (SELECT user_id, count(*) AS durable FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0 GROUP BY user_id)
     SELECT r.user_id, r.event_id, r.k AS calls FROM r LEFT JOIN d USING (user_id) WHERE coalesce(durable, 0) = 0 AND r.k >= 3 AND (r.k - 3) % 5 = 0""",
     covers=("SM09",),
 )
@@ -86,7 +86,7 @@ def op_sm09_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Tables(spark, sf_dir).events
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
     calls = e.where(F.col("event_type").isin("view", "click")).withColumn("calls", F.row_number().over(own))
-    lasting = e.where("event_type = 'purchase'").select("user_id").distinct()
+    lasting = e.where("event_type = 'purchase' AND event_id % 40 = 0").select("user_id").distinct()
     due = (F.col("calls") >= NUDGE_FIRST) & ((F.col("calls") - NUDGE_FIRST) % NUDGE_EVERY == 0)
     return calls.where(due).join(lasting, "user_id", "left_anti").select("user_id", "event_id", F.col("calls").cast("long").alias("calls"))
 
@@ -207,13 +207,13 @@ def memory_score(summary: Column, body: Column, q: str, stale: Column) -> Column
 @query(
     """WITH o AS (SELECT p_partkey AS id, lower(p_name) AS s, lower(p_type) AS b, p_size < 5 AS stale FROM part),
     x AS (SELECT id, CASE WHEN s = 'a b' THEN 80 WHEN contains(s, 'a b') THEN 32 ELSE 0 END + CASE WHEN contains(b, 'a b') THEN 16 ELSE 0 END
-    + least(len(list_intersect(string_split_regex(s, '[^a-z0-9]+'), ['part', '7', '12'])) * 6, 24) - CASE WHEN stale THEN 30 ELSE 0 END AS score FROM o)
-    SELECT id, score::BIGINT AS score FROM x WHERE score > 0 ORDER BY score DESC, id LIMIT 8""".replace("'a b'", "'part 7 12'"),
+    + least(len(list_intersect(string_split_regex(s, '[^a-z0-9]+'), ['small', 'ring'])) * 6, 24) - CASE WHEN stale THEN 30 ELSE 0 END AS score FROM o)
+    SELECT id, score::BIGINT AS score FROM x WHERE score > 0 ORDER BY score DESC, id LIMIT 8""".replace("'a b'", "'small ring'"),
     covers=("ME01", "ME02", "TK12"),
 )
 def op_me01_search_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Tables(spark, sf_dir).part
-    score = memory_score(F.col("p_name"), F.col("p_type"), "part 7 12", F.col("p_size") < 5)
+    score = memory_score(F.col("p_name"), F.col("p_type"), "small ring", F.col("p_size") < 5)
     return p.select(F.col("p_partkey").alias("id"), score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(8)
 
 

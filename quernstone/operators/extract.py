@@ -102,17 +102,25 @@ def op_tx42_test_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", c.alias("c")).select("p_partkey", test_framework(F.col("c")).alias("framework"), command_safety(F.col("c")).alias("safety"))
 
 
+#: Fixed patterns of a test runner's output: signs of each outcome, and its counts.
+ERROR_SIGNS = r"={3,}\s*ERRORS\s*={3,}|Traceback \(most recent call last\)|ImportError|ModuleNotFoundError"
+ERROR_COUNT = r"(\d+)\s+errors?\b"
+FAILURE_SIGNS = r"={3,}\s*FAILURES\s*={3,}|(^|\n)FAILED\s+\S"
+FAILURE_COUNT = r"(\d+)\s+failed"
+PASS_COUNT = r"(\d+)\s+passed"
+NOTHING_SIGNS = "no tests ran|collected 0 items"
+
+
 def pytest_outcome(output: Column) -> Column:
-    """TX43. error, failed, passed, no_tests or unknown, by the strongest signal."""
-    n = lambda p: F.coalesce(F.regexp_extract(output, p, 1).try_cast("long"), F.lit(0))
-    return (
-        F.when(output.isNull() | (F.trim(output) == ""), "unknown")
-        .when(output.rlike(r"={3,}\s*ERRORS\s*={3,}|Traceback \(most recent call last\)|ImportError|ModuleNotFoundError") | (n(r"(\d+)\s+errors?\b") > 0), "error")
-        .when(output.rlike(r"={3,}\s*FAILURES\s*={3,}|(^|\n)FAILED\s+\S") | (n(r"(\d+)\s+failed") > 0), "failed")
-        .when(n(r"(\d+)\s+passed") > 0, "passed")
-        .when(output.rlike("no tests ran|collected 0 items"), "no_tests")
-        .otherwise("unknown")
-    )
+    """TX43. error, failed, passed, no_tests or unknown: each outcome by its signs and its count, the worst first."""
+    counted = lambda p: F.coalesce(F.regexp_extract(output, p, 1).try_cast("long") > 0, F.lit(False))
+    signs = {
+        "error": output.rlike(ERROR_SIGNS) | counted(ERROR_COUNT),
+        "failed": output.rlike(FAILURE_SIGNS) | counted(FAILURE_COUNT),
+        "passed": counted(PASS_COUNT),
+        "no_tests": output.rlike(NOTHING_SIGNS),
+    }
+    return F.coalesce(*[F.when(found, name) for name, found in signs.items()], F.lit("unknown"))
 
 
 _OUT = "CASE (p_partkey % 5)::INT WHEN 0 THEN p_size || ' passed in 2s' WHEN 1 THEN p_size || ' failed, 3 passed' WHEN 2 THEN 'collected 0 items' WHEN 3 THEN (p_size % 2) || ' error' ELSE '' END"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.plans.catalog import query
+from quernstone.plans.lineage import cut
 from quernstone.sources.tables import FILES_SQL, Tables
 
 K1, B = 1.5, 0.75
@@ -22,23 +23,27 @@ def _stems(word: str) -> Callable[[Column], Column]:
     return lambda x: T.shared_stem(x, F.lit(word))
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf, len): counts are summed before the shuffle; texts never leave the scan."""
-    held = docs.select(F.col(id_col).alias("id"), tokens.alias("_tokens"))
-    words = held.select("id", F.size("_tokens").alias("len"), F.explode("_tokens").alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """(id, len, tf array): each text is cut into words once, and its words walked once.
+
+    A text becomes words by one generator whose input no later projection repeats; only
+    the number of words and the counts of the terms leave the task that read the text,
+    as the sum over a row number, which is not a key any other row has.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("t"), F.monotonically_increasing_id().alias("row"))
+    words = rows.select("id", "row", F.explode_outer("t").alias("w"))
+    tf = [F.count_if(F.col("w") == w).alias(f"tf{k}") for k, w in enumerate(terms)]
+    return words.groupBy("row", "id").agg(F.count("w").alias("len"), *tf).drop("row")
 
 
-def bm25(docs: DataFrame, id_col: str, tokens: Column, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """TX09. (id, score) of documents with any of the query's different terms; the statistics are over all documents.
 
-    One pass: term counts of a row are taken with array functions, so nothing is
-    exploded and only the term frequencies of a handful of words are shuffled.
+    Texts are read and cut into words once; their counts, a few numbers a document, are
+    written and read twice, for the statistics (one row) and for the scores.
     """
     terms = sorted(set(terms))
-    held = docs.select(F.col(id_col).alias("id"), tokens.alias("_t"))
-    tf = [F.size(F.filter("_t", _equals(w))).alias(f"tf{k}") for k, w in enumerate(terms)]
-    rows = held.select("id", F.size("_t").alias("len"), *tf)
+    rows = cut(term_counts(docs, id_col, text_col, terms))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -70,7 +75,7 @@ _TOK = f"tok AS (SELECT doc_id, {T.TOKENIZE_SQL.format(c='text')} AS t FROM docu
 def op_tx09_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over all documents, the 50 best."""
     t = Tables(spark, sf_dir)
-    found = bm25(t.documents, "doc_id", T.tokenize(F.col("text")), first_terms(t))
+    found = bm25(t.documents, "doc_id", "text", first_terms(t))
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -115,7 +120,7 @@ def op_tx04_match_with_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op_tx07_document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index's own rank: k1 1.2, less is better, 48 rows."""
     t = Tables(spark, sf_dir)
-    found = bm25(t.documents, "doc_id", T.tokenize(F.col("text")), first_terms(t), k1=1.2)
+    found = bm25(t.documents, "doc_id", "text", first_terms(t), k1=1.2)
     return found.select(F.col("id").alias("doc_id"), F.round(-F.col("score"), 6).alias("rank")).orderBy("rank", "doc_id").limit(48)
 
 

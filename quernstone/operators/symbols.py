@@ -12,6 +12,7 @@ from quernstone.functions import text as T
 from quernstone.operators import extract
 from quernstone.plans.catalog import query
 from quernstone.sources import store
+from quernstone.sources.codebase import SYMBOLS_SQL, Codebase
 from quernstone.sources.tables import EDGES_SQL, Tables
 
 #: Relation kinds and strengths by edge type; strengths, the best first.
@@ -50,10 +51,40 @@ def op_tk06_relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).lineitem.orderBy(rank, "l_linestatus", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").limit(64).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size IS NOT NULL AND p_type <> 'module' AND (ends_with(p_name, '1') OR ends_with(p_name, '5'))", covers=("FLT11", "FLT13"))
+#: Endings of compiled modules, the words that fit each, and what a hint adds.
+BOUNDARY_WORDS = {
+    ".pyx": ("compiled", "core", "cython", "extension", "fast", "helper", "kernel", "low", "parser", "performance", "utility"),
+    ".pxd": ("cimport", "core", "cython", "helper", "low", "utility"),
+    ".pxi": ("core", "cython", "helper", "utility"),
+}
+BOUNDARY = {"base": 18, "per_word": 4, "most_words": 8, "preferred": 8, "top_level": 4, "private": 2}
+
+
+def boundary_ending(path: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(path).endswith(e), F.lit(e)) for e in BOUNDARY_WORDS])
+
+
+def boundary_hint(path: Column, kind: Column, name: Column, words: list[str], preferred: list[str]) -> Column:
+    """TX26. What a question about compiled code adds to a symbol at that boundary; 0 elsewhere or if none of its words fits."""
+    ending, b = boundary_ending(path), BOUNDARY
+    hits = F.coalesce(*[F.when(ending == e, len(set(words) & set(own))) for e, own in BOUNDARY_WORDS.items()], F.lit(0))
+    score = b["base"] + F.least(hits * b["per_word"], F.lit(b["most_words"])) + F.when(ending.isin(*preferred), b["preferred"]).otherwise(0) + F.when(kind.isin("class", "function"), b["top_level"]).otherwise(0)
+    return F.when(hits > 0, F.when(name.startswith("_"), F.greatest(F.lit(0), score - b["private"])).otherwise(score)).otherwise(0)
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL}, p AS (SELECT symbol_id, kind, CASE WHEN symbol_id % 6 = 1 THEN '_' ELSE '' END || local_name AS name, CASE module_id % 4 WHEN 0 THEN replace(path, '.py', '.pyx') WHEN 1 THEN replace(path, '.py', '.PXD') WHEN 2 THEN replace(path, '.py', '.pxi') ELSE path END AS path FROM symbols),
+    e AS (SELECT *, CASE WHEN ends_with(lower(path), '.pyx') THEN 2 WHEN ends_with(lower(path), '.pxd') THEN 1 WHEN ends_with(lower(path), '.pxi') THEN 0 END AS hits FROM p)
+    SELECT symbol_id, CASE WHEN hits > 0 THEN 18 + least(hits * 4, 8) + CASE WHEN ends_with(path, '.pyx') THEN 8 ELSE 0 END + CASE WHEN kind IN ('class', 'function') THEN 4 ELSE 0 END - CASE WHEN starts_with(name, '_') THEN 2 ELSE 0 END ELSE 0 END AS hint
+    FROM e WHERE hits IS NOT NULL AND kind <> 'constant'""",
+    covers=("FLT11", "FLT13", "TX26"),
+)
 def op_flt11_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Tables(spark, sf_dir).part
-    return p.where(F.col("p_size").isNotNull() & (F.col("p_type") != "module") & (F.endswith("p_name", F.lit("1")) | F.endswith("p_name", F.lit("5")))).select("p_partkey", "p_name")
+    """Symbols of compiled modules but structural ones, with their hint for "fast low kernels"; three of four modules are compiled."""
+    k = F.col("module_id") % 4
+    path = F.when(k == 0, F.replace("path", F.lit(".py"), F.lit(".pyx"))).when(k == 1, F.replace("path", F.lit(".py"), F.lit(".PXD"))).when(k == 2, F.replace("path", F.lit(".py"), F.lit(".pxi"))).otherwise(F.col("path"))
+    s = Codebase(Tables(spark, sf_dir)).symbols().where("kind <> 'constant'").withColumn("file", path).withColumn("name", F.concat(F.when(F.col("symbol_id") % 6 == 1, "_").otherwise(""), "local_name"))
+    return s.where(boundary_ending(F.col("file")).isNotNull()).select("symbol_id", boundary_hint(F.col("file"), F.col("kind"), F.col("name"), ["fast", "low"], [".pyx"]).alias("hint"))
 
 
 @query("SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = 1", covers=("JN04",))
@@ -229,18 +260,32 @@ def op_bu04_progressive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", stage.alias("stage"), size.alias("size"))
 
 
+#: Symbols that a title names exactly: three a term, six a request.
+PER_TERM, PER_REQUEST = 3, 6
+
+
+def title_symbols(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """AN02. request_id, symbol_id, place: symbols whose name is a word of a request's title, in the order of the words, then by name and id."""
+    words = requests.select("request_id", F.posexplode(F.array_distinct(F.filter(F.split("title", "[^A-Za-z0-9_]+"), lambda w: F.length(w) >= 3))).alias("at", "local_name"))
+    held = words.join(symbols.select("symbol_id", "local_name", "fq_name"), "local_name")
+    term = Window.partitionBy("request_id", "at").orderBy("fq_name", "symbol_id")
+    few = held.withColumn("k", F.row_number().over(term)).where(F.col("k") <= PER_TERM)
+    own = Window.partitionBy("request_id").orderBy("at", "fq_name", "symbol_id")
+    return few.withColumn("place", F.row_number().over(own)).where(F.col("place") <= PER_REQUEST).select("request_id", "symbol_id", "place")
+
+
 @query(
-    """WITH t AS (SELECT item_id, list_slice(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)), 1, 1000) AS w FROM benchmark), m AS (SELECT item_id, p_partkey, row_number() OVER (PARTITION BY item_id ORDER BY p_partkey) AS k FROM (SELECT item_id, unnest(w) AS w FROM t) JOIN part ON lower(split_part(p_type, ' ', 1)) = w)
-    SELECT item_id, p_partkey FROM m WHERE k <= 6""",
+    f"""WITH {SYMBOLS_SQL}, r AS (SELECT c_custkey AS request_id, 'In SmallRing' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '_' || (c_custkey * 3) END || ': red_widget, test_small or RED_WIDGET fail; SmallRing of ' || c_mktsegment AS title FROM customer),
+    w AS (SELECT request_id, list_filter(string_split_regex(title, '[^A-Za-z0-9_]+'), lambda x: length(x) >= 3) AS ws FROM r), e AS (SELECT request_id, unnest(ws) AS local_name, generate_subscripts(ws, 1) AS pos FROM w), d AS (SELECT request_id, local_name, min(pos) AS pos FROM e GROUP BY ALL),
+    j AS (SELECT request_id, pos, symbol_id, fq_name, row_number() OVER (PARTITION BY request_id, pos ORDER BY fq_name, symbol_id) AS k FROM d JOIN symbols USING (local_name)),
+    p AS (SELECT request_id, symbol_id, row_number() OVER (PARTITION BY request_id ORDER BY pos, fq_name, symbol_id) AS place FROM j WHERE k <= 3) SELECT * FROM p WHERE place <= 6""",
     covers=("AN02",),
 )
 def op_an02_title_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols that a request names, six a request."""
     t = Tables(spark, sf_dir)
-    w = t.benchmark.select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 3))).alias("w"))
-    named = t.part.select("p_partkey", F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("w"))
-    own = Window.partitionBy("item_id").orderBy("p_partkey")
-    return w.join(named, "w").withColumn("k", F.row_number().over(own)).where("k <= 6").select("item_id", "p_partkey")
+    k = F.col("c_custkey")
+    title = F.concat(F.lit("In SmallRing"), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("_"), (k * 3).cast("string"))), F.lit(": red_widget, test_small or RED_WIDGET fail; SmallRing of "), "c_mktsegment")
+    return title_symbols(t.customer.select(k.alias("request_id"), title.alias("title")), Codebase(t).symbols())
 
 
 @query(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,15 +15,22 @@ def column(spark, texts, f):
 
 
 def test_tokenizer(spark):
-    texts = ["get_inline_instances", "ModelAdmin", "django/db/models/aggregates.py", "HTMLParser", "", None]
-    assert column(spark, texts, T.tokenize) == [["get", "inline", "instances"], ["model", "admin"], ["django", "db", "models", "aggregates", "py"], ["html", "parser"], [], None]
+    texts = ["mill_stone_2grind", "QuernHandle", "tools/Rotary/hand-quern.rs", "XMLGrainSieve", "--", "", None]
+    assert column(spark, texts, T.tokenize) == [["mill", "stone", "2grind"], ["quern", "handle"], ["tools", "rotary", "hand", "quern", "rs"], ["xml", "grain", "sieve"], [], [], None]
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([("a", "aggregate count expression"), ("b", "common common common count"), ("c", "common common common common")], "id string, text string")
-    assert [r.id for r in lexical.bm25(docs, "id", T.tokenize(F.col("text")), ["aggregate"]).collect()] == ["a"]
-    scores = {r.id: r.score for r in lexical.bm25(docs, "id", T.tokenize(F.col("text")), ["count", "aggregate"]).collect()}
-    assert scores["a"] > scores["b"] and "c" not in scores
+    """Against the formula by hand: three texts of 4, 2 and 3 words."""
+    docs = spark.createDataFrame([(1, "oat oat RyeOat"), (2, "rye bran"), (3, "bran, husk; bran"), (4, None)], "id long, text string")
+    got = {r.id: r.score for r in lexical.bm25(docs, "id", "text", ["oat", "bran", "oat"]).collect()}
+    idf = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = lambda f, size, df: idf(4, df) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * size / (9 / 4)))
+    assert got == pytest.approx({1: part(3, 4, 1), 2: part(1, 2, 2), 3: part(2, 3, 2)})
+
+
+def test_bm25_reads_texts_once(spark, sf_dir):
+    plan = lexical.term_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", ["a", "b"])._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Scan parquet") == 1
 
 
 def test_stem_and_clip(spark):
