@@ -69,14 +69,17 @@ def rename_plan(prev: DataFrame, cur: DataFrame, key: list[str]) -> DataFrame:
 
 
 @query(
-    f"""WITH {RUNS_SQL}, {_DIFF}, g AS (SELECT path, kind, owner % 50 AS o, row_number() OVER (PARTITION BY kind, owner % 50 ORDER BY path) AS k FROM prev JOIN d USING (path) WHERE change = 'removed'),
-    n AS (SELECT path, kind, owner % 50 AS o, row_number() OVER (PARTITION BY kind, owner % 50 ORDER BY path) AS k FROM cur JOIN d USING (path) WHERE change = 'added')
-    SELECT g.path AS old_path, n.path AS new_path FROM g JOIN n USING (kind, o, k)""",
+    f"""WITH {RUNS_SQL}, moved AS (SELECT CASE WHEN path % 13 = 0 THEN path + 1000000000 ELSE path END AS path, content_hash FROM cur),
+    g AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS k FROM prev WHERE path NOT IN (SELECT path FROM moved)),
+    n AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS k FROM moved WHERE path NOT IN (SELECT path FROM prev))
+    SELECT g.path AS old_path, n.path AS new_path FROM g JOIN n USING (content_hash, k)""",
     covers=("JN14", "WN10"),
 )
 def op_jn14_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prev, cur = (s.withColumn("bucket", F.col("owner") % 50) for s in Tables(spark, sf_dir).run_states())
-    return rename_plan(prev, cur, ["kind", "bucket"])
+    """A thirteenth of the files has moved between the runs; a rename keeps its content, equal contents pair in order."""
+    prev, cur = Tables(spark, sf_dir).run_states()
+    moved = cur.withColumn("path", F.when(F.col("path") % 13 == 0, F.col("path") + 1_000_000_000).otherwise(F.col("path")))
+    return rename_plan(prev, moved, ["content_hash"])
 
 
 STALE_PRIORITY = {"file_removed": 0, "symbol_modified": 2, "file_modified_source_backed": 3}

@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and rereads it.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    The folder is shared by all executors, so a lost one costs nothing. Where it's unset a
-    temporary folder is used, in local mode only.
+    Where it is unset a temporary folder is used, in local mode only; on a cluster a
+    machine-local folder would be wrong, so that is an error.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/round-{uuid.uuid4().hex}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+    spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` below :func:`shared_dir` and rereads it, so a lost executor costs nothing."""
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
