@@ -72,7 +72,7 @@ n AS (SELECT symbol_id, count(*) FILTER (WHERE s > 0) AS n, sum(s)::BIGINT AS s
     f"""WITH {SYMBOLS_SQL}, {_BROAD_SQL} SELECT symbol_id, s + CASE WHEN n >= 2 THEN least(6 * n, 18) ELSE 0 END AS score, n AS groups FROM n JOIN f USING (symbol_id)
     WHERE n >= 2 OR contains(local_name || chr(1) || fq_name || chr(1) || signature || chr(1) || docstring || chr(1) || path, 'creating rings') OR contains(local_name || chr(1) || fq_name || chr(1) || signature || chr(1) || docstring || chr(1) || path, 'rings small') OR contains(local_name || chr(1) || fq_name || chr(1) || signature || chr(1) || docstring || chr(1) || path, 'small economy')
     ORDER BY score DESC, name, symbol_id LIMIT 200""",
-    covers=("FLT23", "TX22"),
+    covers=("FLT23", "TX22", "TK02"),
 )
 def op_flt23_broad_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best symbols for "creating rings small economy"."""

@@ -27,8 +27,8 @@ def path_order(strengths: Column, files: Column, key: Column) -> list[Column]:
     """WITH e AS (SELECT l_orderkey, l_linenumber, CASE l_suppkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' WHEN 2 THEN 'conservative' WHEN 3 THEN 'lexical' ELSE 'unresolved' END AS s, l_suppkey % 5 AS r, 'f' || (l_partkey % 3) AS f, l_partkey FROM lineitem WHERE l_orderkey % 9 = 0),
     p AS (SELECT l_orderkey, list(r ORDER BY l_linenumber, l_partkey) AS rs, list(f ORDER BY l_linenumber, l_partkey) AS fs FROM e GROUP BY l_orderkey),
     k AS (SELECT l_orderkey, list_max(rs) AS weakest, len(rs) AS n, len(list_filter(range(2, len(fs) + 1), lambda i: fs[i] <> fs[i - 1])) AS changes, array_to_string(fs, '>') AS key FROM p)
-    SELECT l_orderkey, row_number() OVER (ORDER BY weakest, n, changes, key, l_orderkey) AS place FROM k QUALIFY place <= 500""",
-    covers=("TK07",),
+    SELECT l_orderkey, ['exact', 'resolved', 'conservative', 'lexical', 'unresolved'][weakest + 1] AS weakest, row_number() OVER (ORDER BY k.weakest, n, changes, key, l_orderkey) AS place FROM k QUALIFY place <= 500""",
+    covers=("TK07", "AG25", "TX53"),
 )
 def op_tk07_static_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as paths: lines are edges, their parts' files the nodes. The 500 first."""
@@ -37,7 +37,7 @@ def op_tk07_static_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = p.select("l_orderkey", F.col("e.s").alias("s"), F.col("e.f").alias("f"))
     keys = path_order(F.col("s"), F.col("f"), F.array_join("f", ">"))
     best = held.orderBy(*keys, "l_orderkey").limit(500)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(*keys, "l_orderkey")).cast("long")).select("l_orderkey", "place")
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*keys, "l_orderkey")).cast("long")).select("l_orderkey", F.get(F.array(*map(F.lit, STRENGTHS)), (keys[0] - 1).cast("int")).alias("weakest"), "place")
 
 
 MOST_SEEDS, PER_SEED, MOST_NEIGHBOURS, EXPANDED = 12, 4, 8, 40

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quernstone.operators.versions import file_diff
+from quernstone.plans.lineage import cut
 
 DEBOUNCE_MS = 500
 RING, KEPT_FILES = 200, 20
@@ -87,7 +88,7 @@ def watch(snapshots: DataFrame, previous: DataFrame, on_diff: Callable[[DataFram
 
     def each(batch: DataFrame, epoch: int) -> None:
         on_diff(file_diff(held["state"], batch), epoch)
-        held["state"] = batch.sparkSession.createDataFrame(batch.toArrow())
+        held["state"] = cut(batch)  # to the shared folder, not to the driver
 
     writer = snapshots.writeStream.foreachBatch(each)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")
