@@ -174,6 +174,37 @@ def read_documents(segments: DataFrame) -> DataFrame:
     return segments.select("part", "local_start", "segment").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """position, id: single ids of written segments by their place among all ids, without decoding any other.
+
+    ``wanted`` has position long; places beyond the last id give no row, a place asked for
+    twice is given once. Positions meet segments by an equi join on ranges of
+    :data:`SEGMENT_IDS` ids; a segment's bytes are read in the task that holds them.
+    """
+    spark = segments.sparkSession
+    before, run = [], 0
+    for part, n in sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect()):
+        before.append((part, run))
+        run += n
+    first = spark.createDataFrame(before, "part int, before long")
+    placed = segments.select("part", "local_start", "n_ids").join(F.broadcast(first), "part").select("part", "local_start", "n_ids", (F.col("before") + F.col("local_start")).alias("begin"))
+    bin_of = lambda c: F.floor(c / SEGMENT_IDS)
+    ranges = placed.withColumn("bin", F.explode(F.sequence(bin_of(F.col("begin")), bin_of(F.col("begin") + F.col("n_ids") - 1))))
+    asked = wanted.select("position").where("position >= 0").distinct().withColumn("bin", bin_of(F.col("position")))
+    hit = asked.join(ranges, "bin").where("position >= begin AND position < begin + n_ids").select("part", "local_start", "begin", "position")
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, last, s = [], None, None
+            for local, begin, position, data in zip(batch["local_start"], batch["begin"], batch["position"], batch["segment"], strict=True):
+                if s is None or (begin, local) != last:
+                    s, last = Segment(data), (begin, local)
+                rows.append((position, s.at(position - begin)))
+            yield pd.DataFrame(rows, columns=["position", "id"])
+
+    return hit.join(segments.select("part", "local_start", "segment"), ["part", "local_start"]).select("local_start", "begin", "position", "segment").mapInPandas(look_up, "position long, id long")
+
+
 def digest(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quernstone.llm import dac, packing
+from quernstone.llm import dac, packing, queries, tokens
 from quernstone.llm.tokens import ChunkEncoder, default_vocabulary
 
 from .helpers import ODD, clashing, docs
@@ -122,3 +122,32 @@ def test_plan_takes_counts_of_any_size():
     assert len(slots) < 20_000 and sum(s.count for s in slots) == sum(hist.values())
     sequences = max(s.sequence + s.count for s in slots)
     assert sequences <= 1.01 * (sum(k * n for k, n in hist.items()) / 1024) + 1
+
+
+def test_single_ids_of_a_written_table(spark):
+    rows = [(k, f"text number {k} " * (k % 7), "en", "s", 1) for k in range(60)]
+    segments = dac.write_segments(docs(spark, rows), segment_ids=200)
+    every = [i for r in sorted(dac.read_documents(segments).collect(), key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4").tolist()]
+    asked = [0, 1, 1, 199, 200, len(every) // 2, len(every) - 1, len(every), -1]
+    got = {r.position: r.id for r in dac.tokens_at(segments, spark.createDataFrame([(x,) for x in asked], "position long")).collect()}
+    assert got == {x: every[x] for x in asked if 0 <= x < len(every)} and len(got) == 6
+
+
+def test_queries_of_tokens_equal_the_library(spark, sf_dir):
+    """op5 and op10 by name: ids, starts and crc32 of every document against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    library.encode_special_tokens = True
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 2] for r in table}
+    pack = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    seen = {d: 0 for d in ids}
+    for r in sorted(queries.op5_best_fit_packing(spark, sf_dir).collect(), key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == seen[r.doc_id] and r.ids_crc32 == pack(ids[r.doc_id][r.start : r.start + r.length])
+        seen[r.doc_id] += r.length
+    assert seen == {d: len(x) for d, x in ids.items()}
+    start = 0
+    for r in sorted(queries.op10_token_ids(spark, sf_dir).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), pack(ids[r.doc_id]))
+        start += r.n_tokens
