@@ -26,10 +26,10 @@ def test_words_of_a_question(spark, question, meaningful, generic, hidden):
 
 
 def test_paths_and_names_in_prose(spark):
-    q = F.lit("See ./Tools/Mill.py, (conf/a.d/x.toml) or https://h.org/p/q.py and settings.YAML; not and/or. Call grind() of `Quern`, run_all or a.b.items and x.py")
+    q = F.lit("See ./Tools/Mill.py, (conf/a.d/x.toml) or https://h.org/p/q.py and settings.YAML; not and/or. Call grind() of `Quern`, run_all or a.b.quernstones and x.py")
     assert set(value(spark, objectives.path_clues(q))) == {"tools/mill.py", "conf/a.d/x.toml", "settings.yaml", "and/or."}
     paths, names = (value(spark, c) for c in objectives.route_hints(q))
-    assert paths == ["./Tools/Mill.py", "conf/a.d/x.toml"] and names == ["Quern", "grind", "run_all", "a.b.items"]
+    assert paths == ["./Tools/Mill.py", "conf/a.d/x.toml"] and names == ["Quern", "grind", "run_all", "a.b.quernstones"]
 
 
 @pytest.mark.parametrize(
