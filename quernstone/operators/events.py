@@ -28,12 +28,13 @@ def thrashing(changes: DataFrame, least: int = THRASH_CHANGES, minutes: int = TH
 
 
 @query(
-    f"""WITH {CHANGES_SQL.replace("event_type || '/' || user_id", "event_type")}, n AS (SELECT file_path, ts, count(*) OVER (PARTITION BY file_path ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 10 MINUTE FOLLOWING) AS n FROM changes)
-    SELECT file_path, min(ts) AS first_ts, arg_min(n, ts) AS change_count, (epoch_us(min(ts)) // 600000000)::BIGINT AS bucket FROM n WHERE n >= 5 GROUP BY file_path""",
+    f"""WITH {CHANGES_SQL.replace("event_type || '/' || user_id", "'u/' || user_id")}, n AS (SELECT file_path, ts, count(*) OVER (PARTITION BY file_path ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 600 MINUTE FOLLOWING) AS n FROM changes)
+    SELECT file_path, min(ts) AS first_ts, arg_min(n, ts) AS change_count, (epoch_us(min(ts)) // 36000000000)::BIGINT AS bucket FROM n WHERE n >= 5 GROUP BY file_path""",
     covers=("WN02", "SM05"),
 )
 def op_wn02_thrashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thrashing(Tables(spark, sf_dir).changes().withColumn("file_path", F.col("event_type")))
+    """Users stand for files, so keys grow with the log; five changes within ten hours."""
+    return thrashing(Tables(spark, sf_dir).changes().withColumn("file_path", F.concat(F.lit("u/"), F.col("user_id").cast("string"))), minutes=600)
 
 
 def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
