@@ -231,6 +231,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut(t, [(x["start"], x["n_words"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
+    run = run.asNondeterministic()  # else the filter on its result runs it again, in a second Python worker beside each first
     names = docs.columns
     joined = docs.join(by_doc, (F.col("doc_id") == F.col(doc)) & (_text_hash("text") == F.col(text_hash)), "left")
     whole = joined.where(F.col(found).isNull()).select(*names)

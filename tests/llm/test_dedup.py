@@ -262,6 +262,14 @@ def test_passage_cases(spark):
     assert suffix.repeated_passages(docs(spark, [])).count() == 0 and suffix.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_each_text_is_cut_once(spark):
+    """A filter on the cut text must not run the cutting again: each run takes a Python worker of its own in every task."""
+    text = " ".join(f"w{k}" for k in range(80))
+    out = suffix.without_repeats(clashing(docs(spark, [(1, text, "en", "s", 0), (2, f"a {text} b", "en", "s", 0)])))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, text, 0), (2, "a b", 3)]
+
+
 def test_cut_keeps_the_rest_of_a_text():
     assert suffix.cut("a b  c\nd e", [(1, 2)]) == "a d e"
     assert suffix.cut("é b", [(0, 1)]) == "b" and suffix.cut("a b", [(1, 1)]) == "a " and suffix.cut("a", [(0, 1)]) == ""
