@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import extract
 from quernstone.plans.catalog import query
+from quernstone.plans.lineage import cut, spread
 from quernstone.sources import store
 from quernstone.sources.codebase import SYMBOLS_SQL, Codebase
 from quernstone.sources.tables import EDGES_SQL, Tables
@@ -266,8 +267,14 @@ PER_TERM, PER_REQUEST = 3, 6
 
 def title_symbols(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """AN02. request_id, symbol_id, place: symbols whose name is a word of a request's title, in the order of the words, then by name and id."""
-    words = requests.select("request_id", F.posexplode(F.array_distinct(F.filter(F.split("title", "[^A-Za-z0-9_]+"), lambda w: F.length(w) >= 3))).alias("at", "local_name"))
-    held = words.join(symbols.select("symbol_id", "local_name", "fq_name"), "local_name")
+    words = spread(requests, "request_id").select("request_id", F.posexplode(F.filter(F.split("title", "[^A-Za-z0-9_]+"), lambda w: F.length(w) >= 3)).alias("at", "local_name"))
+    words = words.groupBy("request_id", "local_name").agg(F.min("at").alias("at"))
+    # a name's first symbols are the same for every request, so no request meets all symbols of a common name
+    first = Window.partitionBy("local_name").orderBy("fq_name", "symbol_id")
+    named = symbols.select("symbol_id", "local_name", "fq_name").withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_TERM).drop("k")
+    # those that are asked for are written, so that few of them are broadcast and the words of all requests stay where they are
+    named = cut(named.join(words.select("local_name").distinct(), "local_name", "left_semi"))
+    held = words.join(named, "local_name")
     term = Window.partitionBy("request_id", "at").orderBy("fq_name", "symbol_id")
     few = held.withColumn("k", F.row_number().over(term)).where(F.col("k") <= PER_TERM)
     own = Window.partitionBy("request_id").orderBy("at", "fq_name", "symbol_id")
