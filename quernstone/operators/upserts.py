@@ -181,11 +181,23 @@ PER_SEED = 3
 
 
 def same_module_neighbours(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
-    """WN06. seed, neighbour, place: symbols of the seed's directory in other files that are no seeds, by path, line and id, a few a seed."""
+    """WN06. seed, neighbour, place: symbols of the seed's directory in other files that are no seeds, by path, line and id, a few a seed.
+
+    A seed passes over one file of its directory. So the first few of each file are enough,
+    and of these the first of the directory, a few more than that file can hold: a seed
+    never meets all symbols of its directory.
+    """
     held = symbols.withColumn("directory", T.directory(F.col("path")))
-    own = held.join(seeds, held["symbol_id"] == seeds["seed"]).select("seed", "directory", F.col("path").alias("seed_path"))
-    side = held.join(seeds, held["symbol_id"] == seeds["seed"], "left_anti").join(own, "directory").where("path <> seed_path")
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("path", "line", "symbol_id"))
+    ids = seeds.select(F.col("seed").alias("symbol_id")).distinct()
+    own = held.join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("seed"), "directory", F.col("path").alias("seed_path"))
+    order = ("path", "line", "symbol_id")
+    first = lambda df, by, most: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= most).drop("k")
+    rest = held.join(ids, "symbol_id", "left_anti").select("directory", *order)
+    few = first(first(rest, ("directory", "path"), PER_SEED), ("directory",), 2 * PER_SEED)
+    # the few rows of a directory are one row of it, so a directory of any number of seeds is no more than its seeds
+    lists = few.groupBy("directory").agg(F.collect_list(F.struct(*order)).alias("few"))
+    side = own.join(lists, "directory").select("seed", "seed_path", F.explode("few").alias("x")).select("seed", "seed_path", "x.*").where("path <> seed_path")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(*order))
     return side.withColumn("place", place).where(F.col("place") <= PER_SEED).select("seed", F.col("symbol_id").alias("neighbour"), "place")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.operators import symbols
+from quernstone.operators import symbols, upserts
 
 
 def most_rows(df) -> int:
@@ -30,3 +30,15 @@ def test_title_symbols_of_a_common_name(spark):
     found = symbols.title_symbols(requests.unionByName(requests.where("request_id < 3")), named)
     assert most_rows(found) <= 4000
     assert sorted(map(tuple, found.where("request_id IN (1, 400)").collect())) == [(r, 500 - p, p) for r in (1, 400) for p in (3, 2, 1)]
+
+
+def test_module_neighbours_of_a_large_directory(spark):
+    path = F.format_string("src/f%d.py", F.floor(F.col("id") / 100))
+    held = spark.range(2000).select(F.col("id").alias("symbol_id"), path.alias("path"), (F.col("id") % 100).cast("int").alias("line"))
+    held = held.unionByName(held.where("symbol_id = 7"))
+    found = upserts.same_module_neighbours(held.where("symbol_id % 4 = 3").select(F.col("symbol_id").alias("seed")), held)
+    assert most_rows(found) <= 8000
+    rows = {}
+    for r in found.orderBy("place").collect():
+        rows.setdefault(r.seed, []).append(r.neighbour)
+    assert len(rows) == 500 and rows[3] == [100, 101, 102] and rows[1999] == [0, 1, 2] and rows[7] == [100, 100, 101]
