@@ -10,6 +10,7 @@ from quernstone.operators.extract import all_of
 from quernstone.operators.objectives import path_clues, route_hints
 from quernstone.operators.symbols import VARIANTS_SQL, variants
 from quernstone.plans.catalog import query
+from quernstone.plans.lineage import spread
 from quernstone.sources.codebase import MODULES_SQL, SYMBOLS_SQL, Codebase
 from quernstone.sources.tables import Tables
 
@@ -96,26 +97,39 @@ def parameters_fit(q: Column, signature: Column) -> Column:
     """Whether a signature has as many parameters named after a thing as the request counts ("two rings")."""
     asked = r"\b(single|one|two|three|four)\s+([a-z][a-z0-9_]*)"
     number = F.create_map(*[F.lit(x) for kv in COUNTS.items() for x in kv])[F.regexp_extract(F.lower(q), asked, 1)]
-    thing = concept(F.regexp_extract(F.lower(q), asked, 2))
     params = F.filter(F.transform(F.split(F.regexp_extract(signature, r"\(([^)]*)\)", 1), ","), lambda p: F.trim(F.regexp_replace(F.trim(p), "[:=].*$", ""))), lambda p: p != "")
-    fits = F.filter(params, lambda p: F.exists(T.tokenize(p), lambda w: concept(w) == thing) | F.rlike(F.lower(p), F.concat(F.lit("^"), F.substring(thing, 1, 1), F.lit(r"\d+$"))))
-    return F.coalesce(F.size(fits) >= number, F.lit(False)) & (thing != "")
+
+    def fit(thing: Column) -> Column:
+        fits = F.filter(params, lambda p: F.exists(T.tokenize(p), lambda w: concept(w) == thing) | F.rlike(F.lower(p), F.concat(F.lit("^"), F.substring(thing, 1, 1), F.lit(r"\d+$"))))
+        return F.coalesce(F.size(fits) >= number, F.lit(False)) & (thing != "")
+
+    return T.once(concept(F.regexp_extract(F.lower(q), asked, 2)), fit)
 
 
 def direct_answer(q: Column, name: Column, kind: Column, signature: Column, docstring: Column) -> Column:
     """TX50. How far a definition answers a request for a capability; only functions and methods, from name, signature and docstring alone."""
-    terms = F.slice(F.filter(F.array_distinct(T.tokenize(q)), lambda w: ~w.isin(*CAPABILITY_WORDS)), 1, 12)
-    words = lambda c: F.transform(T.tokenize(F.coalesce(c, F.lit(""))), concept)
-    own = F.concat(words(name), words(signature), words(docstring))
-    of = lambda pool: F.size(F.filter(terms, lambda w: F.array_contains(pool, concept(w))))
-    pairs = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms) - 1, F.lit(1))), lambda i: F.concat(concept(F.get(terms, i - 1)), F.lit(" "), concept(F.get(terms, i))))))
-    phrases = F.least(F.size(F.filter(pairs, lambda p: F.contains(F.array_join(own, " "), p))), F.lit(3))
-    named = of(words(name)) > 0
-    explained = (of(words(docstring)) >= 2) | (phrases > 0)
-    coverage = F.when(F.size(terms) > 0, of(own) / F.size(terms)).otherwise(0.0)
-    score = coverage * 0.62 + F.least(F.lit(0.16), phrases * 0.08) + F.when(named & explained, 0.12).otherwise(0.0) + F.when(parameters_fit(q, signature), 0.1).otherwise(0.0)
-    score = F.when(named, score).otherwise(F.least(score, F.lit(0.28)))
-    return F.when(~kind.isin("function", "method") | (of(own) < 2), 0.0).otherwise(F.round(F.least(F.lit(0.95), score), 4))
+    concepts = lambda ws: F.transform(ws, concept)
+    terms = concepts(F.slice(F.filter(F.array_distinct(T.tokenize(q)), lambda w: ~w.isin(*CAPABILITY_WORDS)), 1, 12))
+    words = lambda c: concepts(T.tokenize(F.coalesce(c, F.lit(""))))
+    lists = F.struct(terms.alias("terms"), words(name).alias("name"), words(signature).alias("signature"), words(docstring).alias("docstring"))
+
+    def counts(x: Column) -> Column:
+        terms = x["terms"]
+        of = lambda pool: F.size(F.filter(terms, lambda w: F.array_contains(pool, w)))
+        pairs = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms) - 1, F.lit(1))), lambda i: F.concat(F.get(terms, i - 1), F.lit(" "), F.get(terms, i)))))
+        phrases = T.once(F.array_join(x["own"], " "), lambda text: F.least(F.size(F.filter(pairs, lambda p: F.contains(text, p))), F.lit(3)))
+        return F.struct(F.size(terms).alias("terms"), of(x["own"]).alias("own"), of(x["name"]).alias("name"), of(x["docstring"]).alias("docstring"), phrases.alias("phrases"))
+
+    def answer(x: Column) -> Column:
+        named = x["name"] > 0
+        explained = (x["docstring"] >= 2) | (x["phrases"] > 0)
+        coverage = F.when(x["terms"] > 0, x["own"] / x["terms"]).otherwise(0.0)
+        score = coverage * 0.62 + F.least(F.lit(0.16), x["phrases"] * 0.08) + F.when(named & explained, 0.12).otherwise(0.0) + F.when(parameters_fit(q, signature), 0.1).otherwise(0.0)
+        score = T.once(score, lambda s: F.when(named, s).otherwise(F.least(s, F.lit(0.28))))
+        return F.when(~kind.isin("function", "method") | (x["own"] < 2), 0.0).otherwise(F.round(F.least(F.lit(0.95), score), 4))
+
+    lists = T.once(lists, lambda x: F.struct(x["terms"].alias("terms"), x["name"].alias("name"), x["docstring"].alias("docstring"), F.concat(x["name"], x["signature"], x["docstring"]).alias("own")))
+    return T.once(T.once(lists, counts), answer)
 
 
 _C = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND w LIKE '%ing' THEN left(w, length(w) - 3) WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END"
@@ -134,7 +148,7 @@ _W = lambda c: f"list_transform({T.TOKENIZE_SQL.format(c=c)}, lambda w: {_C})"
 )
 def op_tx50_direct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.lit("Find, please, a helper for two rings: economy fails")
-    return Codebase(Tables(spark, sf_dir)).symbols().select("symbol_id", direct_answer(q, F.col("local_name"), F.col("kind"), F.col("signature"), F.col("docstring")).alias("score"))
+    return spread(Codebase(Tables(spark, sf_dir)).symbols()).select("symbol_id", direct_answer(q, F.col("local_name"), F.col("kind"), F.col("signature"), F.col("docstring")).alias("score"))
 
 
 def contrast(positive: Column, excluded: Column, excluded_phrases: Column, branches: Column, sides: Column, named: Column, unnamed: Column, words: Column, name: Column) -> tuple[Column, Column]:
