@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from quernstone import registry
 from quernstone.operators import symbols, upserts
 
 
@@ -42,3 +44,8 @@ def test_module_neighbours_of_a_large_directory(spark):
     for r in found.orderBy("place").collect():
         rows.setdefault(r.seed, []).append(r.neighbour)
     assert len(rows) == 500 and rows[3] == [100, 101, 102] and rows[1999] == [0, 1, 2] and rows[7] == [100, 100, 101]
+
+
+@pytest.mark.parametrize("name", ["op_tx17_query_words", "op_tx50_direct_answers", "op_an07_decoys_weakened", "op_rt01_route_hints", "op_src10_parse_python", "op_tx15_actionability", "op_tx44_path_clues"])
+def test_work_on_rows_of_a_small_file_is_dealt_out(spark, sf_dir, name):
+    assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
