@@ -49,3 +49,14 @@ def test_module_neighbours_of_a_large_directory(spark):
 @pytest.mark.parametrize("name", ["op_tx17_query_words", "op_tx50_direct_answers", "op_an07_decoys_weakened", "op_rt01_route_hints", "op_src10_parse_python", "op_tx15_actionability", "op_tx44_path_clues"])
 def test_work_on_rows_of_a_small_file_is_dealt_out(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_touching_edges_are_told_apart_once_by_keys(spark, sf_dir):
+    plan = registry.queries()["op_jn02_touching"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "hashpartitioning(src" not in plan
+
+
+def test_expansion_shuffles_few_edges(spark, sf_dir):
+    plan = registry.queries()["op_gr11_expand"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    edges = [x for x in plan.split("\n") if "Aggregate" in x and ("_custkey" in x or "_partkey" in x or "edge_type" in x)]
+    assert not edges and "Join Inner" in plan
