@@ -114,3 +114,12 @@ def test_links_across_components_equal_all_pairs():
     every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard.similar(sets[i], sets[j])]
     assert classes(same + list(zip(a.tolist(), b.tolist(), strict=True))) == classes(same + [p for p in every if root[p[0]] != root[p[1]]])
     assert 4 < len(a) < len(sets)
+
+
+def test_near_duplicates_leave_by_row(spark, sf_dir):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (5, text(1)), (5, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (7, text(4)), (None, text(4) + " more")]
+    df = clashing(docs(spark, rows))
+    out = pipeline.near_duplicate_stage(spark, df, sf_dir)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, text(1)), (5, text(2)), (None, text(3)), (7, text(4))], key=str)
