@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone import registry
-from quernstone.operators import symbols, upserts
+from quernstone.operators import objectives, symbols, upserts
 
 
 def most_rows(df) -> int:
@@ -60,3 +60,37 @@ def test_expansion_shuffles_few_edges(spark, sf_dir):
     plan = registry.queries()["op_gr11_expand"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     edges = [x for x in plan.split("\n") if "Aggregate" in x and ("_custkey" in x or "_partkey" in x or "edge_type" in x)]
     assert not edges and "Join Inner" in plan
+
+
+def most_shuffled(df) -> int:
+    """The most rows that any shuffle of the plan was given, as it was run."""
+
+    def steps(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return steps(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return steps(plan.plan())
+        found = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.metrics().contains("shuffleRecordsWritten") else []
+        children = plan.children()
+        return found + [n for k in range(children.size()) for n in steps(children.apply(k))]
+
+    df.collect()
+    return max(steps(df._jdf.queryExecution().executedPlan()))
+
+
+def test_identifier_lane_shuffles_no_pairs(spark):
+    named = spark.range(700).select(F.col("id").alias("symbol_id"), F.lit("SmallRing").alias("local_name"), F.format_string("src/mod%d.py", F.col("id") % 9).alias("path"))
+    asked = spark.range(600).select(F.col("id").alias("question_id"), F.format_string("fix SmallRing in mod%d.py or no_such", F.col("id") % 7).alias("q"))
+    found = objectives.identifier_lane(named, asked)
+    assert most_shuffled(found) <= 3000
+    rows = found.collect()
+    assert len(rows) == 420_000 and {(r.question_id, r.symbol_id): r.bonus for r in rows} == {(q, s): 160 if q % 7 == s % 9 else 80 for q in range(600) for s in range(700)}
+
+
+def test_identifier_lane_of_odd_rows(spark):
+    """Repeated and null ids, a file and a symbol of one name, names that are null."""
+    named = spark.createDataFrame([(1, "a.py", "src/a.py"), (2, "red_widget", "a.py"), (2, "SmallRing", "b.py"), (None, "red_widget", "c.py"), (None, "red_widget", None), (5, None, None)], "symbol_id long, local_name string, path string")
+    asked = spark.createDataFrame([(1, "red_widget a.py a.py"), (2, "SmallRing"), (2, "red_widget"), (None, "SmallRing"), (None, "c.py"), (7, None), (8, "plain")], "question_id long, q string")
+    rows = sorted(map(tuple, objectives.identifier_lane(named, asked).collect()), key=str)
+    assert rows == sorted([(1, 1, 160), (1, 2, 160), (1, None, 100), (2, 2, 100), (2, None, 100), (None, 2, 80), (None, None, 160)], key=str)
