@@ -10,9 +10,10 @@ library.
 
 from __future__ import annotations
 
+import operator
 import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from .common import only_one
 
@@ -39,6 +40,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_ID = operator.attrgetter("id")
+
+
+class _Memo(dict):
+    """Ids by chunk. A chunk that isn't there is taken from the memo before or encoded as it is looked up."""
+
+    __slots__ = ("before", "encode", "long", "tokenize")
+
+    def __init__(self, encode: Callable[[str], bytes | None], tokenize: Callable[[str], list], before: dict[str, bytes | None]):
+        super().__init__()
+        self.encode, self.tokenize, self.before = encode, tokenize, before
+        #: Long chunks of the text at hand.
+        self.long: dict[str, bytes | None] = {}
+
+    def known(self, p: str) -> bytes | None:
+        return self.get(p) or self.before.get(p)
+
+    def __missing__(self, p: str) -> bytes | None:
+        if len(p) > MEMO_CHARS:
+            if p not in self.long:
+                self.long[p] = self.encode(p)
+            return self.long[p]
+        ids = self.before.get(p)
+        if ids is None:
+            if p.isascii() and p.isalpha() and len(p) < len(_PACK):  # the usual word, with no call more than needed
+                found = self.tokenize("\u0120" + p)
+                ids = _PACK[len(found)](*map(_ID, found))
+            else:
+                ids = self.encode(p)
+        self[p] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Texts to little-endian uint32 ids, equal to encoding each text as a whole."""
 
@@ -47,14 +81,13 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._memo: dict[str, bytes | None] = {}
-        self._before: dict[str, bytes | None] = {}
         self._ends: dict[str, bytes] = {}
         import public_tokenizers
         import regex
 
         self._pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
         self._model = self._tokenizer.model
+        self._memo = _Memo(self._ids, self._model.tokenize, {})
         self._tokens: dict[str, bytes] = {}
 
     @classmethod
@@ -80,26 +113,29 @@ class ChunkEncoder:
                 if len(self._ends) > 10_000:
                     self._ends.clear()
                 self._ends[end] = self._raw([end])[0]
-            return (self._memo.get(w) or self._word(w)) + self._ends[end]
+            return (self._memo.known(w) or self._word(w)) + self._ends[end]
         if p.replace("\n", "").isprintable() and max(p) <= "\uffff":
             return self._by_pre_tokens(" " + p)
         return self._raw([" " + p])[0]
 
     def _word(self, letters: str) -> bytes:
         named = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
-        found = [x.id for x in self._model.tokenize("\u0120" + named)]
-        return _PACK[len(found)](*found) if len(found) < len(_PACK) else struct.pack(f"<{len(found)}I", *found)
+        return self._packed(self._model.tokenize("\u0120" + named))
+
+    @staticmethod
+    def _packed(found: Sequence) -> bytes:
+        n = len(found)
+        return _PACK[n](*map(_ID, found)) if n < len(_PACK) else struct.pack(f"<{n}I", *map(_ID, found))
 
     def _by_pre_tokens(self, chunk: str) -> bytes:
         tokens, out = self._tokens, []
         for p in self._pre_tokens(chunk):
-            ids = tokens.get(p)
+            ids = tokens.get(p) or (self._memo.known(p[1:]) if p[0] == " " else None)
             if ids is None:
                 if len(tokens) > MEMO_TOKENS:
                     tokens.clear()
                 named = p.encode().decode("latin-1").translate(_BYTES)
-                found = [x.id for x in self._model.tokenize(named)]
-                ids = tokens[p] = struct.pack(f"<{len(found)}I", *found)
+                ids = tokens[p] = self._packed(self._model.tokenize(named))
             out.append(ids)
         return b"".join(out)
 
@@ -107,33 +143,21 @@ class ChunkEncoder:
         """The ids of ``text`` as bytes, without an end id; null is empty."""
         if not text:
             return b""
-        if len(self._memo) > MEMO_ENTRIES:
-            self._before, self._memo = self._memo, {}
-        memo, before = self._memo, self._before
+        memo = self._memo
+        if len(memo) > MEMO_ENTRIES:
+            memo.before = {}
+            memo = self._memo = _Memo(self._ids, self._model.tokenize, memo)
         parts = text.split(" ")
         first = parts[0]
         if not first or first[-1].isspace():
             return self._by_cuts(text)
         del parts[0]
-        long, tokenize = {}, self._model.tokenize
-        for p in set(parts).difference(memo):
-            ids = before.get(p)
-            if ids is None:
-                if p.isascii() and p.isalpha() and len(p) < len(_PACK):  # the usual word, with no call more than needed
-                    found = tokenize("\u0120" + p)
-                    ids = _PACK[len(found)](*[x.id for x in found])
-                else:
-                    ids = self._ids(p)
-            if len(p) <= MEMO_CHARS:
-                memo[p] = ids
-            else:
-                long[p] = ids
-        if long:
-            memo = {p: memo[p] if p in memo else long[p] for p in set(parts)}
         try:
-            return self._first(first) + b"".join([memo[p] for p in parts])
+            return self._first(first) + b"".join(map(memo.__getitem__, parts))
         except TypeError:  # a part that isn't safe to encode alone
             return self._by_cuts(text)
+        finally:
+            memo.long.clear()
 
     def _first(self, chunk: str) -> bytes:
         """Ids of a chunk with no space before it."""

@@ -151,3 +151,27 @@ def test_queries_of_tokens_equal_the_library(spark, sf_dir):
     for r in sorted(queries.op10_token_ids(spark, sf_dir).collect(), key=lambda r: r.doc_id):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), pack(ids[r.doc_id]))
         start += r.n_tokens
+
+
+def test_words_of_the_memo_before_are_not_merged_again(monkeypatch):
+    """A word that a mark follows, or a line's end, takes its ids from both memos."""
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, word):
+            self.seen.append(word)
+            return self.model.tokenize(word)
+
+    monkeypatch.setattr("quernstone.llm.tokens.MEMO_ENTRIES", 2)
+    encoder = ChunkEncoder(default_vocabulary())
+    encoder._model = model = Counted(encoder._model)
+    assert encoder.encode("x red blue green k.\nx") == whole("x red blue green k.\nx")
+    model.seen.clear()
+    text = "x red, blue.\nx green! red blue"
+    assert encoder.encode(text) == whole(text) and model.seen == []
+    long = "x " + "é" * 60 + " " + "b" * 60
+    for text in (long + long[1:], long + "  " + long):
+        assert encoder.encode(text) == whole(text)
+    assert not encoder._memo.long and not encoder._memo.before.get("b" * 60)
