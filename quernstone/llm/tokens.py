@@ -1,19 +1,24 @@
-"""Byte-level BPE through the ``tokenizers`` library, with an exact memo of chunks.
+"""Byte-level BPE with an exact memo of chunks.
 
 A single space between two non-white characters always starts a pre-token of
 this vocabulary's splitting pattern, and merges never cross pre-tokens. A text
-may thus be cut before such spaces, and each different chunk be encoded once. A new
-chunk of plain characters is split by the same pattern here and only its new
-pre-tokens go through the library's model; any other chunk goes through the whole
-library.
+may thus be cut before such spaces, and each different chunk be encoded once. New
+chunks go through ``tiktoken`` where the vocabulary has a file of ranks beside it: of
+a text it makes the ids that the ``tokenizers`` library makes, with less work. A test
+compares all merges and the classes of all characters. Other vocabularies go through
+the library.
 """
 
 from __future__ import annotations
 
-import operator
+import base64
 import re
 import struct
 from collections.abc import Callable, Sequence
+from functools import cached_property
+from pathlib import Path
+
+import numpy as np
 
 from .common import only_one
 
@@ -21,15 +26,12 @@ END_ID = 2
 #: Entries of the memo of a worker process. A full one becomes the one before, which words that occur again
 #: are taken over from, and the one before that goes: frequent words stay.
 MEMO_ENTRIES = 150_000
-#: The same for pre-tokens.
-MEMO_TOKENS = 60_000
 #: Longer chunks are encoded each time, so that the memo's memory is bounded.
 MEMO_CHARS = 48
+#: Longer texts without a place to cut go through the library: splitting a very long run of white space overflows tiktoken's stack.
+TEXT_CHARS = 100_000
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Printable characters that byte-level vocabularies stand for by themselves; other bytes follow from U+0100 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PACK = [struct.Struct(f"<{k}I").pack for k in range(16)]
 
@@ -40,7 +42,30 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_ID = operator.attrgetter("id")
+class _Library:
+    """Ids of a pre-token and of any text, by the library as a whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def text(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def tokenize(self, piece: bytes) -> list[int]:
+        return self.text(piece.decode())
+
+
+class _Ranks:
+    """The same by the ranks of merges."""
+
+    def __init__(self, path: Path):
+        import public_tokenizers
+        import tiktoken
+
+        with path.open("rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        core = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.text, self.tokenize = core.encode_ordinary, core.encode_single_piece
 
 
 class _Memo(dict):
@@ -65,8 +90,8 @@ class _Memo(dict):
         ids = self.before.get(p)
         if ids is None:
             if p.isascii() and p.isalpha() and len(p) < len(_PACK):  # the usual word, with no call more than needed
-                found = self.tokenize("\u0120" + p)
-                ids = _PACK[len(found)](*map(_ID, found))
+                found = self.tokenize(b" " + p.encode())
+                ids = _PACK[len(found)](*found)
             else:
                 ids = self.encode(p)
         self[p] = ids
@@ -77,67 +102,68 @@ class ChunkEncoder:
     """Texts to little-endian uint32 ids, equal to encoding each text as a whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._path = path
+        ranks = Path(path).with_suffix(".tiktoken")
+        self._model = _Ranks(ranks) if ranks.exists() else _Library(self._tokenizer)
+        self._text = self._model.text
         self._ends: dict[str, bytes] = {}
-        import public_tokenizers
-        import regex
-
-        self._pre_tokens = regex.compile(public_tokenizers.PATTERN).findall
-        self._model = self._tokenizer.model
         self._memo = _Memo(self._ids, self._model.tokenize, {})
-        self._tokens: dict[str, bytes] = {}
+
+    @cached_property
+    def _tokenizer(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self._path)
+        out.encode_special_tokens = True
+        return out
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
         return only_one("tokens", path, lambda: cls(path))
 
-    def _raw(self, chunks: Sequence[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self._tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _raw(self, chunk: str) -> bytes:
+        if len(chunk) > TEXT_CHARS:
+            return self._packed(_Library(self._tokenizer).text(chunk))
+        return self._packed(self._text(chunk))
 
     def _ids(self, p: str) -> bytes | None:
         """Ids of a chunk with a space before it; None if it isn't safe to encode alone."""
-        if p.isalpha() and (p.isascii() or max(p) <= "\uffff"):
+        if p.isalpha():
             return self._word(p)
         if not p or p[0].isspace() or p[-1].isspace():
             return None
+        known = self._by_word(p)
+        if known is None:
+            line, _, rest = p.partition("\n")  # alone between characters that aren't white, a pre-token
+            if rest and not rest[0].isspace() and not line[-1].isspace():
+                known = self._memo.known(line) or (self._word(line) if line.isalpha() else self._by_word(line))
+                if known is not None:
+                    return known + self._end("\n") + self._raw(rest)
+            return self._raw(" " + p)
+        return known
+
+    def _by_word(self, p: str) -> bytes | None:
+        """Ids of a word and marks after it; None for any other chunk."""
         w = p.rstrip(_MARKS)
-        if w.isalpha() and len(p) - len(w) <= 4 and (w.isascii() or max(w) <= "\uffff"):
-            end = p[len(w) :]  # a run of marks is one pre-token
-            if end not in self._ends:
-                if len(self._ends) > 10_000:
-                    self._ends.clear()
-                self._ends[end] = self._raw([end])[0]
-            return (self._memo.known(w) or self._word(w)) + self._ends[end]
-        if p.replace("\n", "").isprintable() and max(p) <= "\uffff":
-            return self._by_pre_tokens(" " + p)
-        return self._raw([" " + p])[0]
+        if w.isalpha() and len(p) - len(w) <= 4:
+            return (self._memo.known(w) or self._word(w)) + self._end(p[len(w) :])
+        return None
+
+    def _end(self, end: str) -> bytes:
+        """Ids of a run of marks, which is one pre-token, or of a line's end."""
+        if end not in self._ends:
+            if len(self._ends) > 10_000:
+                self._ends.clear()
+            self._ends[end] = self._raw(end)
+        return self._ends[end]
 
     def _word(self, letters: str) -> bytes:
-        named = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
-        return self._packed(self._model.tokenize("\u0120" + named))
+        return self._packed(self._model.tokenize(b" " + letters.encode()))
 
     @staticmethod
-    def _packed(found: Sequence) -> bytes:
+    def _packed(found: Sequence[int]) -> bytes:
         n = len(found)
-        return _PACK[n](*map(_ID, found)) if n < len(_PACK) else struct.pack(f"<{n}I", *map(_ID, found))
-
-    def _by_pre_tokens(self, chunk: str) -> bytes:
-        tokens, out = self._tokens, []
-        for p in self._pre_tokens(chunk):
-            ids = tokens.get(p) or (self._memo.known(p[1:]) if p[0] == " " else None)
-            if ids is None:
-                if len(tokens) > MEMO_TOKENS:
-                    tokens.clear()
-                named = p.encode().decode("latin-1").translate(_BYTES)
-                ids = tokens[p] = self._packed(self._model.tokenize(named))
-            out.append(ids)
-        return b"".join(out)
+        return _PACK[n](*found) if n < len(_PACK) else np.array(found, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as bytes, without an end id; null is empty."""
@@ -153,21 +179,15 @@ class ChunkEncoder:
             return self._by_cuts(text)
         del parts[0]
         try:
-            return self._first(first) + b"".join(map(memo.__getitem__, parts))
+            return self._raw(first) + b"".join(map(memo.__getitem__, parts))
         except TypeError:  # a part that isn't safe to encode alone
             return self._by_cuts(text)
         finally:
             memo.long.clear()
 
-    def _first(self, chunk: str) -> bytes:
-        """Ids of a chunk with no space before it."""
-        if len(chunk) <= MEMO_CHARS and chunk.replace("\n", "").isprintable() and max(chunk) <= "\uffff":
-            return self._by_pre_tokens(chunk)
-        return self._raw([chunk])[0]
-
     def _by_cuts(self, text: str) -> bytes:
         """The general case: cuts only where both neighbours of a space are not white."""
         first, *rest = _SAFE_CUT.split(text)
         memo = self._memo
-        found = {c: memo.get(c) or self._ids(c) or self._raw([" " + c])[0] for c in set(rest)}
-        return b"".join([self._raw([first])[0], *(found[c] for c in rest)])
+        found = {c: memo.get(c) or self._ids(c) or self._raw(" " + c) for c in set(rest)}
+        return b"".join([self._raw(first), *(found[c] for c in rest)])

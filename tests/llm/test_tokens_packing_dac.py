@@ -175,3 +175,57 @@ def test_words_of_the_memo_before_are_not_merged_again(monkeypatch):
     for text in (long + long[1:], long + "  " + long):
         assert encoder.encode(text) == whole(text)
     assert not encoder._memo.long and not encoder._memo.before.get("b" * 60)
+
+
+def test_texts_are_merged_by_ranks_without_the_library():
+    """Words, marks, lines and odd spaces take no work of the library; only texts beyond TEXT_CHARS without a cut do."""
+    encoder = ChunkEncoder(default_vocabulary())
+    texts = ["new words, of\nlines.\nThen it's 12 (or 3)! naïve 漢字 \U0001f600", "  two  spaces \n\t", "a, b.\n\nc d,\ne.\n x", "ſ'ſ ՘ a՘.\n࢏", "x " + "é" * 60_000]
+    got = [encoder.encode(t) for t in texts]
+    assert "_tokenizer" not in vars(encoder)
+    assert got == [whole(t) for t in texts]
+    assert encoder.encode(spaces := " " * 1_000_000 + "x") == whole(spaces)
+
+
+def test_a_vocabulary_without_ranks_goes_through_the_library(tmp_path):
+    import shutil
+
+    shutil.copy(default_vocabulary(), tmp_path / "own.json")
+    encoder = ChunkEncoder(str(tmp_path / "own.json"))
+    for text in ("it's a word, and\nanother.\nThe  end \n", "naïve 漢字 \U0001f600 x!"):
+        assert encoder.encode(text) == whole(text)
+
+
+def test_ranks_make_the_merges_of_the_library():
+    """Merges in the order of ids, and every token made from its own bytes: then ranks and merges give the same ids for any pre-token."""
+    import json
+
+    with open(default_vocabulary()) as f:
+        model = json.load(f)["model"]
+    ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    assert ids == sorted(set(ids)) and {*ids} | {*range(256)} == {*range(50_256)}
+    library, encoder = ENCODER._tokenizer, ChunkEncoder(default_vocabulary())
+    to_byte = {c: ord(library.decode([i])) for c, i in model["vocab"].items() if len(c) == 1 and len(library.decode([i])) == 1 and ord(library.decode([i])) < 128}
+    for token, i in model["vocab"].items():
+        if i < 50_256:
+            assert [x.id for x in library.model.tokenize(token)] == [i]
+            if all(c in to_byte for c in token):
+                assert encoder._model.tokenize(bytes(to_byte[c] for c in token)) == [i]
+
+
+def test_both_libraries_class_characters_alike():
+    """Letters, digits and marks up to U+1FFFF; those beyond were compared once (no difference)."""
+    import public_tokenizers
+    import tiktoken
+
+    split = ENCODER._tokenizer.pre_tokenizer.pre_tokenize_str
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for before in "a1!":
+        ranks = {bytes([b]): b for b in range(256)}
+        for c in every:
+            ranks.setdefault((before + c).encode(), len(ranks))
+        ids = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        one = [c for c in every if len(split(before + c)) == 1]
+        assert one == [c for c in every if len(ids(before + c)) == 1]
+        if before == "a":  # what Python takes for a letter alone may be encoded as a word
+            assert {c for c in every if c.isalpha()} <= {*one}
