@@ -25,11 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import map_small, materialize, shuffle_partitions
+from .common import map_texts, materialize, shuffle_partitions
 from .tokens import END_ID, ChunkEncoder, default_vocabulary
 
 MAGIC = b"QDAC1"
@@ -40,7 +43,12 @@ SEGMENT_IDS = 1 << 16
 
 
 def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    n_ids = [len(x) for x in ids]
+    named = np.array([NULL_ID if x is None else x for x in doc_ids], "<i8")
+    return _segment(named, np.array([len(x) for x in ids], np.int64), ids)
+
+
+def _segment(named: np.ndarray, n_ids: np.ndarray, ids: list[np.ndarray]) -> bytes:
+    """``named``: a null id is NULL_ID; ``n_ids``: ids of each document; ``ids``: those of all documents, in any parts."""
     values = np.concatenate(ids).astype("<u4") if ids else np.zeros(0, "<u4")
     total, levels, out = len(values), 0, []
     while len(values) or not levels:
@@ -51,9 +59,8 @@ def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
         ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(full.reshape(-1, 64)).sum(1, dtype=np.int64))))[:-1].astype("<u4")
         out += [struct.pack("<Q", len(values)), (values & 255).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()]
         values, levels = values[goes_on] >> 8, levels + 1
-    named = np.array([NULL_ID if x is None else x for x in doc_ids], "<i8")
     starts = np.concatenate(([0], np.cumsum(n_ids))).astype("<u8")
-    return b"".join([MAGIC, struct.pack("<BQQ", levels, len(named), total), named.tobytes(), starts.tobytes(), *out])
+    return b"".join([MAGIC, struct.pack("<BQQ", levels, len(named), total), named.astype("<i8").tobytes(), starts.tobytes(), *out])
 
 
 class Segment:
@@ -112,29 +119,35 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, segment_ids:
     """
     path = vocabulary or default_vocabulary()
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         encoder, part = ChunkEncoder.shared(path), TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
-        names: list[int | None] = []
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = start = 0
+
+        def columns(done: list[tuple[int, int, bytes]]) -> list[pa.Array]:
+            starts, sizes, found = zip(*done, strict=True)
+            return [pa.array([part] * len(done), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())]
+
+        def segment() -> tuple[int, int, bytes]:
+            names, counts, ids = zip(*held, strict=True)
+            return start, size, _segment(np.concatenate(names), np.concatenate(counts), list(ids))
+
         for batch in batches:
-            done = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(encoder.encode(text) + end, "<u4")
-                names.append(None if doc_id == NULL_ID else int(doc_id))
-                held.append(ids)
-                size += len(ids)
+            ids, starts = encoder.encode_all(batch.column("text"), [END_ID])
+            names, counts = batch.column("doc_id").to_numpy(), np.diff(starts)
+            done, at = [], 0
+            while at < len(names):
+                to = min(max(int(np.searchsorted(starts, starts[at] + segment_ids - size)), at + 1), len(names))
+                held.append((names[at:to], counts[at:to], ids[starts[at] : starts[to]]))
+                size += int(starts[to] - starts[at])
                 if size >= segment_ids:
-                    done.append((part, start, size, encode_segment(names, held)))
-                    names, held, size, start = [], [], 0, start + size
-                    if len(done) == 32:
-                        yield pd.DataFrame(done, columns=["part", "local_start", "n_ids", "segment"])
-                        done = []
+                    done.append(segment())
+                    held, size, start = [], 0, start + size
+                at = to
             if done:
-                yield pd.DataFrame(done, columns=["part", "local_start", "n_ids", "segment"])
-        if names:
-            yield pd.DataFrame([(part, start, size, encode_segment(names, held))], columns=["part", "local_start", "n_ids", "segment"])
+                yield columns(done)
+        if held:
+            yield columns([segment()])
 
     dealt = (
         docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -143,7 +156,7 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, segment_ids:
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    return materialize(map_small(dealt, segments, "part int, local_start long, n_ids long, segment binary"), "dac")
+    return materialize(map_texts(dealt, segments, "part int, local_start long, n_ids long, segment binary"), "dac")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -157,21 +170,19 @@ def read_documents(segments: DataFrame) -> DataFrame:
         before[part] = run
         run += n
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, local, data in zip(batch["part"], batch["local_start"], batch["segment"], strict=True):
+            for part, local, data in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "segment")), strict=True):
                 s = Segment(data)
-                ids, starts = s.ids().astype("<u4"), s.starts
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if x == NULL_ID else int(x) for x in s.doc_ids], dtype="Int64"),
-                        "start": starts[:-1] + before[part] + local,
-                        "n_tokens": np.diff(starts),
-                        "ids": [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)],
-                    }
-                )
-
-    return segments.select("part", "local_start", "segment").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
+                ids, starts, n = s.ids().astype("<u4", copy=False), s.starts, len(s.doc_ids)
+                found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(starts * 4), pa.py_buffer(ids)]).cast(pa.binary())
+                columns = [pa.array(s.doc_ids, mask=s.doc_ids == NULL_ID), pa.array(starts[:-1] + (before[part] + local)), pa.array(np.diff(starts)), found]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        pa.default_memory_pool().release_unused()
+
+    fields = "doc_id long, start long, n_tokens long, ids binary"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+    return segments.select("part", "local_start", "segment").mapInArrow(documents, fields)
 
 
 def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -19,11 +19,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_small, materialize
+from .common import map_texts, materialize
 from .tokens import END_ID, ChunkEncoder, default_vocabulary
 
 CAPACITY = 1024
@@ -83,31 +84,47 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     """
     path = vocabulary or default_vocabulary()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         encoder, part = ChunkEncoder.shared(path), TaskContext.get().partitionId()
-        end, seen = np.array([END_ID], "<u4").tobytes(), [0] * (capacity + 1)
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "local_rank"]).astype({"doc_id": "Int64"})
-
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                if held > OUT_BYTES:
-                    yield frame()
-                    rows, held = [], 0
-                ids = encoder.encode(text) + end
-                held += len(ids)
-                n = len(ids) // 4
-                ends = [*range(n % capacity or capacity, n, capacity), n] if n > capacity else [n]
-                start = 0
-                for k, stop in enumerate(ends):
-                    rows.append((doc_id, k, start, stop - start, ids[start * 4 : stop * 4], part, seen[stop - start]))
-                    seen[stop - start] += 1
-                    start = stop
-            yield frame()
+            ids, starts = encoder.encode_all(batch.column("text"), [END_ID])
+            n = np.diff(starts)
+            parts = -(-n // capacity)
+            first = (n - (parts - 1) * capacity).repeat(parts)
+            doc = np.arange(len(n)).repeat(parts)
+            piece = np.arange(len(doc)) - (np.cumsum(parts) - parts).repeat(parts)
+            start = np.where(piece, first + (piece - 1) * capacity, 0)
+            length = np.where(piece, capacity, first)
+
+            order = np.argsort(length, kind="stable")
+            counts = np.bincount(length, minlength=capacity + 1)
+            rank = np.empty_like(length)
+            rank[order] = np.arange(len(length)) - (np.cumsum(counts) - counts)[length[order]]
+            rank += seen[length]
+            seen += counts
+
+            ends = np.cumsum(length)
+            at = 0
+            while at < len(doc):
+                begin = starts[doc[at]] + start[at]
+                to = max(int(np.searchsorted(ends, begin + OUT_BYTES // 4)), at + 1)
+                offsets = np.concatenate(([0], ends[at:to] - begin)).astype(np.int32) * 4
+                found = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids[begin : ends[to - 1]]))])
+                own = slice(at, to)
+                yield [
+                    batch.column("doc_id").take(pa.array(doc[own])),
+                    pa.array(piece[own], pa.int32()),
+                    pa.array(start[own]),
+                    pa.array(length[own]),
+                    found,
+                    pa.array(np.full(to - at, part, np.int32)),
+                    pa.array(rank[own]),
+                ]
+                at = to
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(map_small(read, cut, "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"), "pieces")
+    return materialize(map_texts(read, cut, "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"), "pieces")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -7,6 +7,10 @@ chunks go through ``tiktoken`` where the vocabulary has a file of ranks beside i
 a text it makes the ids that the ``tokenizers`` library makes, with less work. A test
 compares all merges and the classes of all characters. Other vocabularies go through
 the library.
+
+Many texts at once are cut and put together again in Arrow: each different chunk of them
+is merged once, all in one call, and no chunk becomes a Python object. Texts with another
+kind of space go one by one, through the memo.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from functools import cached_property
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import only_one
 
@@ -32,6 +38,9 @@ MEMO_CHARS = 48
 TEXT_CHARS = 100_000
 
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The same for Arrow, whose classes know ASCII alone: white characters (as in Python) at an end of a chunk, or nothing in it.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE = rf"\A{_WHITE}|{_WHITE}\z|\A\z"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PACK = [struct.Struct(f"<{k}I").pack for k in range(16)]
 
@@ -64,8 +73,21 @@ class _Ranks:
 
         with path.open("rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        core = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.text, self.tokenize = core.encode_ordinary, core.encode_single_piece
+        encoding = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.text, self.tokenize = encoding._core_bpe.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self._all = encoding.encode_to_numpy
+        #: Bytes of each token.
+        self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._bytes[list(ranks.values())] = [len(token) for token in ranks]
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks with a space before each, which are safe to encode alone, in a row; and how many each has."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        ids = self._all(" " + pc.binary_join(row, " ")[0].as_py(), disallowed_special=()).astype("<u4", copy=False)
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1, dtype=np.int64)
+        return ids, np.diff(np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1, prepend=0)
 
 
 class _Memo(dict):
@@ -185,6 +207,45 @@ class ChunkEncoder:
         finally:
             memo.long.clear()
 
+    def encode_all(self, texts: pa.Array, after: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` in a row, each text's with the ids ``after`` behind them; and where each begins, with the end of all."""
+        tail = self._packed(after)
+        if not len(texts) or not isinstance(self._model, _Ranks):
+            found = [self.encode(t) + tail for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *map(len, found)]) // 4
+        texts = texts.cast(pa.string()).fill_null("")
+        cut = pc.split_pattern(texts, " ")
+        starts, chunks = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        which, distinct = chunks.indices.to_numpy(), chunks.dictionary
+        unsafe = pc.or_(pc.match_substring_regex(distinct, _UNSAFE), pc.greater(pc.binary_length(distinct), TEXT_CHARS)).to_numpy(zero_copy_only=False)
+        needed, alone = ~unsafe, np.zeros(len(texts), bool)
+        if unsafe.any():
+            alone = np.logical_or.reduceat(unsafe[which], starts[:-1])
+            needed[:] = False
+            needed[which[np.repeat(~alone, np.diff(starts))]] = True
+        ids, n = self._model.words(distinct.filter(pa.array(needed)))
+        first = pc.list_element(cut, 0)
+        own = [self.encode(texts[k].as_py()) if apart else self._raw(first[k].as_py()) for k, apart in enumerate(alone)]
+
+        # entries: the distinct chunks, what comes after a text, nothing, and for each text its first chunk or all of it
+        counts = np.zeros(len(distinct) + 2 + len(own), np.int64)
+        counts[: len(distinct)][needed] = n
+        counts[len(distinct)] = len(tail) // 4
+        counts[len(distinct) + 2 :] = [len(x) // 4 for x in own]
+        offsets = np.concatenate(([0], np.cumsum(counts * 4)))
+        data = b"".join([ids.tobytes(), tail, *own])
+        entries = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+        order = np.insert(which, starts[1:], len(distinct))
+        starts += np.arange(len(starts))
+        for k in np.flatnonzero(alone):
+            order[starts[k] : starts[k + 1] - 1] = len(distinct) + 1
+        order[starts[:-1]] = np.arange(len(own)) + len(distinct) + 2
+        found = entries.take(pa.array(order))
+        _, ends, data = found.buffers()
+        starts = np.frombuffer(ends, np.int64, len(order) + 1)[starts] // 4
+        return np.frombuffer(data or b"", "<u4", starts[-1]), starts
+
     def _by_cuts(self, text: str) -> bytes:
         """The general case: cuts only where both neighbours of a space are not white."""
         first, *rest = _SAFE_CUT.split(text)

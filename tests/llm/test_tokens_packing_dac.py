@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quernstone.llm import dac, packing, queries, tokens
+from quernstone.llm import common, dac, packing, queries, tokens
 from quernstone.llm.tokens import ChunkEncoder, default_vocabulary
 
 from .helpers import ODD, clashing, docs
@@ -229,3 +230,66 @@ def test_both_libraries_class_characters_alike():
         assert one == [c for c in every if len(ids(before + c)) == 1]
         if before == "a":  # what Python takes for a letter alone may be encoded as a word
             assert {c for c in every if c.isalpha()} <= {*one}
+
+
+def all_of(encoder, texts):
+    ids, starts = encoder.encode_all(pa.array(texts, pa.string()), [2])
+    assert len(starts) == len(texts) + 1 and starts[-1] == len(ids)
+    return [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="ab'slt1٣,.!#\n\t  \x0b\x1c\x85\xa0\u2003　ñ漢\U0001f600̀½_Ⅷ", max_size=30), max_size=5))
+def test_texts_at_once_equal_whole_texts(texts):
+    assert all_of(ENCODER, texts) == [whole(t) + b"\2\0\0\0" for t in texts]
+
+
+def test_texts_at_once_take_no_work_by_text_and_merge_a_word_once(monkeypatch):
+    """Only texts with other spaces than single ones between words go one by one."""
+    encoder, merged, alone = ChunkEncoder(default_vocabulary()), [], []
+    words, encode = encoder._model.words, encoder.encode
+    monkeypatch.setattr(encoder._model, "words", lambda w: (merged.extend(w.to_pylist()), words(w))[1])
+    monkeypatch.setattr(encoder, "encode", lambda t: (alone.append(t), encode(t))[1])
+    texts = ["the cat, the dog and\nthe cat", "a cat", None, "", "two  spaces of the cat", "a dog and\nthe cat", " x", "a" + "\n" * 100_001 + "b c"]
+    assert all_of(encoder, texts) == [whole(t) + b"\2\0\0\0" for t in texts]
+    assert sorted(merged) == sorted({*merged}) and {"cat,", "dog", "and\nthe", "cat"} <= {*merged} and "two" not in merged
+    assert alone == ["", "", "two  spaces of the cat", " x", texts[-1]]
+
+
+def test_texts_at_once_of_a_vocabulary_without_ranks(tmp_path):
+    import shutil
+
+    shutil.copy(default_vocabulary(), tmp_path / "own.json")
+    texts = ["it's a word, and\nanother.", None, "The  end \n", "naïve 漢字 x!"]
+    assert all_of(ChunkEncoder(str(tmp_path / "own.json")), texts) == [whole(t) + b"\2\0\0\0" for t in texts]
+    assert all_of(ENCODER, []) == []
+
+
+def test_slices_of_texts_hold_every_row_once():
+    texts = ["a" * k for k in (0, 5, 300, 1, 2, 40, 0, 9, 500, 3)] + [None] * 30
+    table = pa.table({"k": range(40), "text": pa.array(texts, pa.string())})
+    for rows in (1, 7, 40):
+        found = list(common.text_slices(iter(table.to_batches(max_chunksize=rows)), 100))
+        assert pa.Table.from_batches(found).equals(table)
+        for b in found:
+            sizes = [len(t or "") + 16 for t in b.column("text").to_pylist()]
+            assert sum(sizes[:-1]) < 100 and (sum(sizes) >= 100 or b is found[-1])
+    assert list(common.text_slices(iter([]))) == []
+
+
+def test_long_texts_are_cut_and_written_whole(spark):
+    """Texts longer than a slice and than what is handed on at once, with ranks within a length that go on over both."""
+    texts = ["one two " * 2, "word\n" * 900_000 + "end", None, "a few of the words " * 600_000, "three four " * 2]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    want = {k: np.frombuffer(whole(t) + b"\2\0\0\0", "<u4") for k, t in enumerate(texts)}
+    cut = packing.pieces(docs(spark, rows).coalesce(1)).collect()
+    for k, ids in want.items():
+        own = sorted((r for r in cut if r.doc_id == k), key=lambda r: r.piece)
+        assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist() and [r.piece for r in own] == list(range(len(own)))
+        assert b"".join(bytes(r.ids) for r in own) == ids.tobytes() and all(len(r.ids) == 4 * r.length for r in own)
+    ranks = {}
+    for r in cut:
+        ranks.setdefault((r.part, r.length), []).append(r.local_rank)
+    assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+    read = {r.doc_id: r for r in dac.read_documents(dac.write_segments(docs(spark, rows))).collect()}
+    assert {k: bytes(r.ids) for k, r in read.items()} == {k: x.tobytes() for k, x in want.items()}
